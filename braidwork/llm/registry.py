@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash
+from . import chat, secrets, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_secrets": secrets.query,
+    "op2_chat": chat.query,
     "op6_simhash": simhash.query,
+    "op7_toxicity": toxicity.query,
+    "op10_embeddings": vectors.query,
 }
 ORACLE_SQL = {
     "op1_secrets": secrets.ORACLE_SQL,
+    "op10_embeddings": vectors.ORACLE_SQL,
 }
