@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, secrets, simhash, toxicity, vectors
+from . import chat, pieces, secrets, simhash, suffixes, toxicity, vectors
 
 QUERIES = {
     "op1_secrets": secrets.query,
     "op2_chat": chat.query,
+    "op3_sentencepiece": pieces.query,
+    "op5_suffix_dedup": suffixes.query,
     "op6_simhash": simhash.query,
     "op7_toxicity": toxicity.query,
     "op10_embeddings": vectors.query,
