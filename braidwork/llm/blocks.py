@@ -16,10 +16,10 @@ from .common import partitions
 BLOCK_BYTES = 12 << 20
 
 
-def block_count(texts: DataFrame, text_col: str = "text") -> int:
+def block_count(texts: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks for a table: by its bytes, and at least the session's shuffle partitions."""
     total = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(partitions(texts.sparkSession), -(-total // BLOCK_BYTES))
+    return max(partitions(texts.sparkSession), -(-total // block_bytes))
 
 
 def squeeze(raw: bytes) -> bytes:

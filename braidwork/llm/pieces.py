@@ -7,12 +7,12 @@ back to the blocks of documents that asked for them.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ MOST_CHARS = 48
 MOST_PIECES = 2_000_000
 #: How much worse than the worst piece a character is that has none and is spelt in bytes.
 UNKNOWN_PENALTY = 10.0
+#: Bytes of text in a block; beside the text a task holds its words and ids.
+BLOCK_BYTES = 6 << 20
 _NO_ID = -(1 << 63)
 #: Characters from this code on are not told apart when texts are cut into words.
 _HIGH = 2048
@@ -103,27 +105,41 @@ class Vocabulary:
         return out
 
 
-def splitter(joins: bytes) -> Callable[[str], list[str]]:
-    """The words of a text, whose concatenation is a space and the text; none for the empty text.
+def _flags(joins: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(joins, np.uint8), count=(_HIGH + 1) ** 2).view(bool)
+
+
+def _cut(text: str, flags: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a text, and where its words begin, and end, the last of them.
 
     A word ends where no piece has the two characters side by side, so no piece spans two words and the
-    best splits of the words make up the best split of the text; and after ``MOST_CHARS`` characters.
+    best splits of the words make up the best split of the text; before every place in ``heads``; and
+    after ``MOST_CHARS`` characters.
     """
-    flags = np.unpackbits(np.frombuffer(joins, np.uint8), count=(_HIGH + 1) ** 2).view(bool).reshape(_HIGH + 1, -1)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    low = np.minimum(code, _HIGH).astype(np.int32)
+    apart = np.empty(len(code) + 1, bool)
+    apart[0] = apart[-1] = True
+    np.logical_not(flags[low[:-1] * (_HIGH + 1) + low[1:]], out=apart[1:-1])
+    apart[heads] = True
+    cuts = np.flatnonzero(apart)
+    size = np.diff(cuts)
+    if len(size) and size.max() > MOST_CHARS:
+        parts = -(-size // MOST_CHARS)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        cuts = np.append(np.repeat(cuts[:-1], parts) + step * MOST_CHARS, len(code))
+    return code, cuts
+
+
+def splitter(joins: bytes) -> Callable[[str], list[str]]:
+    """The words of a text, whose concatenation is a space and the text; none for the empty text."""
+    flags = _flags(joins)
 
     def split(text: str) -> list[str]:
         if not text:
             return []
-        text = " " + text
-        code = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), _HIGH)
-        cuts = np.concatenate(([0], np.flatnonzero(~flags[code[:-1], code[1:]]) + 1, [len(text)]))
-        size = np.diff(cuts)
-        if size.max() > MOST_CHARS:
-            parts = -(-size // MOST_CHARS)
-            step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            cuts = np.append(np.repeat(cuts[:-1], parts) + step * MOST_CHARS, len(text))
-        cuts = cuts.tolist()
-        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        cuts = _cut(" " + text, flags, np.zeros(0, np.int64))[1].tolist()
+        return [f" {text}"[a:b] for a, b in zip(cuts, cuts[1:])]
 
     return split
 
@@ -152,7 +168,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .where(known | (F.col("n") == 1))
         .select("bucket", "word", edge.alias("edge"))
     )
-    lattice = edges.groupBy("bucket", "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    lattice = edges.groupBy("bucket", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     # Edges come by end, then start: done[i] is the best way to the i-th character.
     best = F.expr("""
         aggregate(edges,
@@ -167,21 +183,54 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return lattice.select("bucket", "word", best.alias("ids"))
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, np.uint64(_BASE)), np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 class _Words:
-    """Distinct words of a block in a fixed order by bucket."""
+    """The words of a block's texts: distinct ones by a 64-bit hash, and the number of each occurrence.
+
+    A collision of two words of one block would show as a failed round trip.
+    """
 
-    def __init__(self, texts: list[str], split: Callable[[str], list[str]], buckets: int):
-        found: set[str] = set()
-        for text in texts:
-            found.update(split(text))
-        ordered = sorted((zlib.crc32(raw := w.encode()) % buckets, raw) for w in found)
-        self.words = [w for _, w in ordered]
-        self.cut = np.searchsorted(np.array([k for k, _ in ordered], np.int64), np.arange(buckets + 1))
+    def __init__(self, texts: list[bytes], joins: bytes, buckets: int):
+        flags, powers = _flags(joins), _powers(1 << 19)
+        whole = b"".join(b" " + t for t in texts if t).decode()
+        size = np.fromiter((len(t.decode()) + 1 if t else 0 for t in texts), np.int64, len(texts))
+        heads = np.concatenate(([0], np.cumsum(size)))
+        hashes, begins, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
+        while a < len(texts):  # a few texts at a time, for the processor's cache
+            b = max(a + 1, int(np.searchsorted(heads, heads[a] + (1 << 18), side="right")) - 1)
+            lo, hi = int(heads[a]), int(heads[b])
+            if hi > lo:
+                code, cuts = _cut(whole[lo:hi], flags, heads[a:b] - lo)
+                if len(code) > len(powers[0]):
+                    powers = _powers(2 * len(code))
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * powers[0][: len(code)])))
+                h = (sums[cuts[1:]] - sums[cuts[:-1]]) * powers[1][cuts[:-1]]
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+                hashes.append(h * np.uint64(0xD6E8FEB86659FD93))
+                begins.append((cuts[:-1] + lo).astype(np.int32))
+            a = b
+        begins, hashes = np.concatenate(begins), np.concatenate(hashes)
+        ends = np.append(begins[1:], np.int32(len(whole)))
+        self.first = np.searchsorted(begins, heads)
+        distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        self.number = number.astype(np.int32)
+        self.words = [whole[x:y].encode() for x, y in zip(begins[first].tolist(), ends[first].tolist())]
+        bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        self.cut = np.searchsorted(bucket.astype(np.int64), np.arange(buckets + 1))
 
 
 def _ask(joins: bytes, buckets: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        words = _Words([t.decode() for t in unpack(rows["blob"])[1]], splitter(joins), buckets)
+        words = _Words(unpack(rows["blob"])[1], joins, buckets)
         out = []
         for k in range(buckets):
             if (b := words.cut[k + 1]) > (a := words.cut[k]):
@@ -221,35 +270,45 @@ def _answer(vocabulary: Vocabulary):
     return run
 
 
+_FILLED = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("round_trip", pa.bool_())])
+
+
 def _fill(vocabulary: Vocabulary, buckets: int):
-    joins, spellings = vocabulary.joins(), vocabulary.spellings()
-
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "ids", "n_tokens", "n_words", "round_trip"]
-        if not len(docs):
-            return pd.DataFrame(columns=columns)
-        row_ids, texts = unpack(docs["blob"])
-        texts = [t.decode() for t in texts]
-        split = splitter(joins)
-        words = _Words(texts, split, buckets)
-        number = {w.decode(): i for i, w in enumerate(words.words)}
+    joins, spellings, schema = vocabulary.joins(), vocabulary.spellings(), _FILLED
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return schema.empty_table()
+        row_ids, texts = unpack(docs["blob"].to_pylist())
+        words = _Words(texts, joins, buckets)
         sizes, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for _, n, blob in sorted(zip(answers["bucket"], answers["n"], answers["ids"])):
+        for _, n, blob in sorted(zip(*(answers[c].to_pylist() for c in ("bucket", "n", "ids")))):
             both = np.frombuffer(unsqueeze(blob), np.int32)
             sizes.append(both[:n])
             flat.append(both[n:])
         size, flat = np.concatenate(sizes), np.concatenate(flat)
-        begin = np.cumsum(size) - size
-        out = []
-        for row, text in zip(row_ids.tolist(), texts):
-            which = np.fromiter(map(number.__getitem__, split(text)), np.int64)
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        spelt = np.array([len(x) for x in spellings], np.int32)
+        parts, counts, same, a = [np.zeros(0, np.int32)], [], [], 0
+        while a < len(texts):  # some texts at a time, to hold little beside the result
+            b = max(a + 1, int(np.searchsorted(words.first, words.first[a] + (1 << 17), side="right")) - 1)
+            which = words.number[words.first[a] : words.first[b]]
             n = size[which]
-            stop = np.cumsum(n)
-            ids = flat[np.arange(stop[-1] if len(n) else 0) + np.repeat(begin[which] - (stop - n), n)]
-            out.append((None if row == _NO_ID else row, ids, len(ids), len(which), decode(spellings, ids.tolist()) == text))
-        frame = pd.DataFrame(out, columns=columns)
-        frame["id"] = frame["id"].astype("Int64")
-        return frame
+            stop = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+            part = flat[np.arange(stop[-1]) + np.repeat(begin[which] - stop[:-1], n)]
+            edge = stop[words.first[a : b + 1] - words.first[a]]
+            expect = [b" " + t if t else t for t in texts[a:b]]
+            length = np.concatenate(([0], np.cumsum(spelt[part], dtype=np.int64)))[edge]
+            good = np.diff(length) == np.array([len(x) for x in expect])
+            if b"".join(map(spellings.__getitem__, part.tolist())) != b"".join(expect):
+                good = np.array([b"".join(map(spellings.__getitem__, part[x:y].tolist())) == e for x, y, e in zip(edge, edge[1:], expect)])
+            parts.append(part)
+            counts.append(np.diff(edge))
+            same.append(good)
+            a = b
+        count = np.concatenate(counts)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(np.concatenate(parts)))
+        return pa.table([pa.array(row_ids, mask=row_ids == _NO_ID), lists, pa.array(count, pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(np.concatenate(same))], schema=schema)
 
     return run
 
@@ -266,13 +325,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str =
     """
     vocabulary = vocabulary or Vocabulary.load()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
-    n = block_count(rows)
+    n = block_count(rows, block_bytes=BLOCK_BYTES)
     dealt = pack(rows, n).repartition(n, "block")
     asked = dealt.groupBy("block").applyInPandas(_ask(vocabulary.joins(), n), "bucket int, block int, blob binary").repartition(n, "bucket")
     words = asked.groupBy("bucket").applyInPandas(_distinct, "bucket int, word string").repartition(n, "bucket")
     encoded = encode_words(words, vocabulary)
     answers = asked.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInPandas(_answer(vocabulary), "block int, bucket int, ids binary, n int")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _fill(vocabulary, n), "id long, ids array<int>, n_tokens long, n_words long, round_trip boolean"
     )
 
