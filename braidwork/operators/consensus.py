@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
 from ..functions.linalg import minimum_variance_weights, residual_covariance, spectral_count
 from . import panel as P
 
@@ -95,8 +96,8 @@ class Consensus:
 
 def gls_consensus(panel: DataFrame, settings: ConsensusSettings = ConsensusSettings()) -> Consensus:
     """The consensus of every series with standard errors, intervals and propagated calibration errors."""
-    rows = prepared(panel, settings)
-    weights = rows.groupBy("series_id").applyInPandas(_weights(settings), _WEIGHTS)
+    rows = checkpointed(prepared(panel, settings))
+    weights = checkpointed(rows.groupBy("series_id").applyInPandas(_weights(settings), _WEIGHTS))
     level = P.weighted_consensus(rows, weights)
     base = weights.groupBy("series_id").agg(F.first("base_se").alias("base_se"))
     if settings.local_uncertainty:
@@ -122,9 +123,9 @@ def _split(frame: DataFrame) -> DataFrame:
 
 def _levels(panel: DataFrame, settings: ConsensusSettings) -> DataFrame:
     """The consensus values alone. The prepared panel feeds the weights and the means, so it is kept."""
-    rows = prepared(panel, settings).persist()
+    rows = checkpointed(prepared(panel, settings))
     weights = rows.groupBy("series_id").applyInPandas(_weights(settings), _WEIGHTS)
-    return P.weighted_consensus(rows, weights)
+    return checkpointed(P.weighted_consensus(rows, weights))
 
 
 def _changes(fits: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
@@ -142,7 +143,7 @@ def leave_one_out(panel: DataFrame, design: DataFrame, settings: ConsensusSettin
     ranked = _ranked(design).where("m >= 3")
     left_out = ranked.select("series_id", F.col("rank").alias("subset"), F.col("pull_id").alias("left_out"))
     members = ranked.select("series_id", "pull_id").join(left_out, "series_id").where("pull_id <> left_out").select("series_id", "pull_id", "subset")
-    panel = panel.persist()
+    panel = checkpointed(panel)
     fits = _split(_levels(_subsets(panel, members), settings))
     full = _levels(panel, settings).select(*P.DATE, F.col("value").alias("other"))
     return _changes(fits, full, P.DATE).join(left_out, ["series_id", "subset"]).drop("subset")
@@ -153,6 +154,6 @@ def convergence(panel: DataFrame, design: DataFrame, settings: ConsensusSettings
     ranked = _ranked(design)
     sizes = ranked.select("series_id", F.explode(F.sequence(F.lit(least), F.greatest("m", F.lit(least)))).alias("subset"), "m").where("subset <= m").distinct()
     members = ranked.select("series_id", "pull_id", "rank").join(sizes, "series_id").where("rank <= subset").select("series_id", "pull_id", "subset")
-    fits = _split(_levels(_subsets(panel, members), settings)).select(*P.DATE, "subset", "value").persist()
+    fits = _split(_levels(_subsets(panel, members), settings)).select(*P.DATE, "subset", "value")
     before = fits.select(*P.DATE, (F.col("subset") + 1).alias("subset"), F.col("value").alias("other"))
     return _changes(fits, before, [*P.DATE, "subset"]).withColumnRenamed("subset", "n_pulls")

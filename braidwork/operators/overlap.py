@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import mad_scale, ratio
+from ..functions.lineage import checkpointed
 from ..functions.robust import huber
 
 PULL = ["series_id", "pull_id"]
@@ -313,8 +314,11 @@ class CalibrationResult:
 
 
 def calibrate(raw: DataFrame, baseline_start=None, baseline_end=None, settings: Calibration = Calibration()) -> CalibrationResult:
-    """Edges, scales, calibrated observations and the normalised daily series of all pulls in one plan."""
-    table = edges(raw, settings)
+    """Edges, scales, calibrated observations and the normalised daily series of all pulls.
+
+    The edge table, which grows with the chunks and not the observations, is computed once.
+    """
+    table = checkpointed(edges(raw, settings))
     graphs = solve_scales(raw, table, settings)
     observations = calibrated_observations(raw, graphs.scales, table, settings)
     return CalibrationResult(normalized(daily_series(observations, settings), baseline_start, baseline_end, settings), observations, graphs, table)

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
 from ..operators import benchmark as B
 from ..operators import consensus as C
 from ..operators import decision as D
@@ -71,31 +72,33 @@ class BatchResult:
 def fit(spark: SparkSession, raw: DataFrame, protocol: Protocol, benchmark: DataFrame | None = None, stop_on_errors: bool = True) -> BatchResult:
     """Run a batch: audit, calibration, duplicates, consensus, generalizability, benchmark, decision.
 
-    The complete panel is kept for the stages that read it; all other steps are one plan each.
+    Tables that several stages read, the panel, the pairs and what the decision needs, are checkpointed.
     """
     audit = V.audit_raw_batch(spark, raw, protocol)
     if stop_on_errors and (found := audit.issues.where("severity = 'error'").collect()):
         raise AuditError("; ".join(f"{r['code']} ({r['rows']})" for r in found))
     data, q = V.coerce_raw_chunks(raw), protocol.query
     calibration = O.calibrate(data, q.baseline_start, q.baseline_end, protocol.calibration_settings())
-    design = data.groupBy("series_id", "pull_id").agg(*[F.min(c).alias(c) for c in ("collection_day", "stream_id", "replicate_id")])
-    panel = calibration.series.join(design, ["series_id", "pull_id"]).persist()
+    design = checkpointed(data.groupBy("series_id", "pull_id").agg(*[F.min(c).alias(c) for c in ("collection_day", "stream_id", "replicate_id")]))
+    panel = calibration.series.join(design, ["series_id", "pull_id"])
+    panel = checkpointed(panel)
     values = panel.select(*P.KEY, "value", "calibration_se")
     d = protocol.duplicates
-    pairs = P.duplicate_pairs(values, d.hash_decimals, d.exact_tolerance, d.min_pair_observations, d.raw_correlation_threshold, d.residual_correlation_threshold, d.exact_cell_agreement_threshold, d.mae_100_threshold, d.positive_jaccard_threshold, d.use_residual_rule).persist()
-    parts = X.duplicate_components(pairs, values)
+    pairs = P.duplicate_pairs(values, d.hash_decimals, d.exact_tolerance, d.min_pair_observations, d.raw_correlation_threshold, d.residual_correlation_threshold, d.exact_cell_agreement_threshold, d.mae_100_threshold, d.positive_jaccard_threshold, d.use_residual_rule)
+    pairs = checkpointed(pairs)
+    parts = checkpointed(X.duplicate_components(pairs, values))
     weighted = P.design_weighted(panel, start=q.baseline_start, end=q.baseline_end)
     settings = protocol.consensus_settings()
     consensus = C.gls_consensus(values, settings)
     g = protocol.gstudy
-    studies = {k: G.variance_components(G.anova(G.transformed(panel, k)), g.clip_negative_components) for k in g.transformations}
+    studies = {k: checkpointed(G.variance_components(G.anova(G.transformed(panel, k)), g.clip_negative_components)) for k in g.transformations}
     reliability = P.reliability_pairs(values)
-    without = C.leave_one_out(values, design, settings)
+    without = checkpointed(C.leave_one_out(values, design, settings))
     days, streams, reps = (design.groupBy("series_id").agg(F.count_distinct(c).alias("n")).first()["n"] for c in ("collection_day", "stream_id", "replicate_id"))
     benchmarked = fitted = None
     if benchmark is not None and protocol.benchmark.enabled:
         b = protocol.benchmark_settings()
-        benchmarked = B.corrected_series(consensus.series, benchmark, b)
+        benchmarked = checkpointed(B.corrected_series(consensus.series, benchmark, b))
         fitted = B.benchmark_fit(benchmarked.select(*P.DATE, "value"), benchmark, b.default_se)
     weights = consensus.weights.groupBy("series_id").agg(F.first("n_unique_pulls").alias("n_unique_pulls"), F.first("spectral_effective_pulls").alias("spectral_effective_pulls"))
     metrics = weights.join(calibration.graphs.diagnostics.groupBy("series_id").agg(F.bool_and("connected").alias("all_connected")), "series_id")
@@ -112,7 +115,7 @@ def fit(spark: SparkSession, raw: DataFrame, protocol: Protocol, benchmark: Data
     metrics = metrics.withColumn("protocol_passed", F.lit(bool(audit.summary.first()["passed"])))
     if fitted is not None:
         metrics = metrics.join(fitted.groupBy("series_id").agg(F.sqrt(F.avg(F.pow("standardized_residual", 2))).alias("benchmark_srmse")), "series_id", "left")
-    rules = D.decision_rules(metrics, protocol.thresholds())
+    rules = checkpointed(D.decision_rules(checkpointed(metrics), protocol.thresholds()))
     return BatchResult(audit, calibration, panel, pairs, parts, weighted, consensus, studies, reliability, without, benchmarked, fitted, rules, D.decision_status(rules))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
 from ..operators import benchmark as B
 from ..operators import consensus as C
 from ..operators import diagnostics as X
@@ -121,7 +122,7 @@ def evaluate(batch: Simulated, protocol: Protocol) -> DataFrame:
     Every estimator is compared with the same information: each is benchmarked too.
     """
     q = protocol.query
-    series = O.calibrate(batch.raw, q.baseline_start, q.baseline_end, protocol.calibration_settings()).series.select(*P.KEY, "value").persist()
+    series = checkpointed(O.calibrate(batch.raw, q.baseline_start, q.baseline_end, protocol.calibration_settings()).series.select(*P.KEY, "value"))
     first = series.groupBy("series_id").agg(F.min("pull_id").alias("pull_id"))
     level = lambda agg: series.groupBy(*P.DATE).agg(agg.alias("value"))
     plain = {
@@ -145,7 +146,6 @@ def monte_carlo(spark: SparkSession, protocol: Protocol, replications: int, firs
 
     rows = None
     for k in range(replications):
-        one = evaluate(simulate(spark, protocol, replace(settings, seed=first_seed + k)), protocol).withColumn("replication", F.lit(k))
+        one = checkpointed(evaluate(simulate(spark, protocol, replace(settings, seed=first_seed + k)), protocol).withColumn("replication", F.lit(k)))
         rows = one if rows is None else rows.unionByName(one)
-    rows = rows.persist()
     return rows, X.replication_summary(rows).orderBy("mean")
