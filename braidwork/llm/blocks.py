@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import partitions
+from .common import partitions, tidy
 
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 12 << 20
@@ -62,6 +62,7 @@ def pack(docs: DataFrame, n_blocks: int, unique: bool = False) -> DataFrame:
                 blocks.append(key)
                 blobs.append(squeeze(head.tobytes() + b"".join(texts[r] for r in rows)))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
+        tidy()
 
     return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "block int, blob binary")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most ``rows`` rows, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that a worker has freed back to the system: idle workers stay beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected edge table with the smallest node that it reaches.
 

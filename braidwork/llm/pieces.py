@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_count, pack, squeeze, unpack, unsqueeze
-from .common import text_or_empty
+from .common import text_or_empty, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer words are cut after so many characters before they are encoded.
@@ -236,6 +236,8 @@ def _ask(joins: bytes, buckets: int):
             if (b := words.cut[k + 1]) > (a := words.cut[k]):
                 part = words.words[a:b]
                 out.append((k, int(rows["block"].iloc[0]), squeeze(np.array([b - a, *map(len, part)], np.int32).tobytes() + b"".join(part))))
+        del words
+        tidy()
         return pd.DataFrame(out, columns=["bucket", "block", "blob"])
 
     return run
@@ -265,6 +267,8 @@ def _answer(vocabulary: Vocabulary):
         for block, bucket, blob in zip(asked["block"], asked["bucket"], asked["blob"]):
             found = [ids[w] for w in _asked(blob)]
             out.append((block, bucket, squeeze(np.array([len(x) for x in found], np.int32).tobytes() + np.concatenate(found).astype(np.int32).tobytes()), len(found)))
+        del ids
+        tidy()
         return pd.DataFrame(out, columns=["block", "bucket", "ids", "n"])
 
     return run
@@ -308,7 +312,10 @@ def _fill(vocabulary: Vocabulary, buckets: int):
             a = b
         count = np.concatenate(counts)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(np.concatenate(parts)))
-        return pa.table([pa.array(row_ids, mask=row_ids == _NO_ID), lists, pa.array(count, pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(np.concatenate(same))], schema=schema)
+        n_words = np.diff(words.first)
+        del words, texts, parts, flat
+        tidy()
+        return pa.table([pa.array(row_ids, mask=row_ids == _NO_ID), lists, pa.array(count, pa.int64()), pa.array(n_words, pa.int64()), pa.array(np.concatenate(same))], schema=schema)
 
     return run
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, slices, text_or_empty
 from .toxicity import is_held_out
 
 #: Bound of the labelled sample on which the classifier is fitted.
@@ -69,7 +69,7 @@ def train(docs: DataFrame, labels: DataFrame):
     rows = docs.select(F.col("doc_id").alias("id"), text_or_empty("text").alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [features(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "y", "x"])
 
@@ -85,7 +85,7 @@ def evidence(docs: DataFrame, model, host_col: str, path_cols: tuple[str, ...])
     centre, scale, u = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(3).to_pylist()
             x = np.stack([features(t) for t in texts]).astype(np.float64) if texts else np.zeros((0, N_FEATURES))
             logit = np.clip(((x - centre) / scale) @ u[:-1] + u[-1], -_CLIP, _CLIP)

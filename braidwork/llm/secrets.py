@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -186,6 +185,18 @@ def _matches(pattern: re.Pattern, rule: Rule, text: str) -> list[tuple[int, int]
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long>>"
 
 
+def _found(index: TrigramIndex, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """For each text of a segment the spans ``(start, rule, end)``, sorted."""
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))))
+    chosen = index.candidates(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for order, ((rule, pattern, _), hits) in enumerate(zip(index.rules, chosen)):
+        for i in range(len(texts)) if hits is None else hits.tolist():
+            found[i] += [(a, order, b) for a, b in _matches(pattern, rule, texts[i])]
+    return [sorted(f) for f in found]
+
+
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out_col: str = "secret_spans") -> DataFrame:
     """All columns of ``docs`` and ``out_col``: the spans of every rule, by start, then rule order.
 
@@ -195,55 +206,49 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
     Spans count code points, end exclusive.
     """
     rows = docs.drop(out_col).withColumn(out_col, F.lit(None).cast(SPAN_TYPE))
-    at = rows.columns.index(text_col)
     kept = [c for c in rows.columns if c != out_col]
-    schema = rows.schema
+    at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TrigramIndex(rules)
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            texts = batch.column(at).fill_null("").to_pylist()
-            raw = [t.encode() for t in texts]
-            offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))))
-            chosen = index.candidates(np.frombuffer(b"".join(raw), np.uint8), offsets)
-            found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            for order, ((rule, pattern, _), hits) in enumerate(zip(index.rules, chosen)):
-                for i in range(len(texts)) if hits is None else hits.tolist():
-                    found[i] += [(a, order, b) for a, b in _matches(pattern, rule, texts[i])]
-            spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(f)] for f in found]
+        for batch in slices(batches):
+            spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in f] for f in _found(index, batch.column(at).fill_null("").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(spans, span)], names=[*kept, out_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
-def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every span replaced by ``[kind]``; overlapping spans merge under their first kind."""
-    columns = docs.columns
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        def one(text, found):
-            if text is None or found is None or not len(found):
-                return text
-            out, done = [], 0
-            merged = []
-            for s in found:
-                if merged and s["start"] < merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["start"], s["end"], s["kind"]])
-            for a, b, kind in merged:
-                out += [text[done:a], f"[{kind}]"]
-                done = b
-            return "".join(out) + text[done:]
+def _cut(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
+    merged: list[list[int]] = []
+    for a, k, b in spans:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b, k])
+    out, done = [], 0
+    for a, b, k in merged:
+        out += [text[done:a], f"[{rules[k].kind}]"]
+        done = b
+    return "".join(out) + text[done:]
 
-        import pandas as pd
 
-        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
+def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every span replaced by ``[kind]``; overlapping spans merge under their first kind. Null stays null."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = TrigramIndex(rules)
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
+            found = _found(index, [t or "" for t in texts])
+            if not any(found):
+                yield batch
+                continue
+            clean = pa.array([_cut(t, f, rules) if f else t for t, f in zip(texts, found)], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([clean if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
 
-    found = scan(docs, text_col, rules, "__spans")
-    return found.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def joined(spans) -> str:

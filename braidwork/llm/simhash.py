@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, connected_components, text_or_empty
+from .common import checkpointed, connected_components, partitions, slices, text_or_empty
 
 BITS = 64
 SEED = 42
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: ``id`` and the fingerprint as a signed long ``fp``. Null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["id", "fp"])
 
@@ -139,7 +139,9 @@ def links(nodes: DataFrame, distance: int = 2, most: int = 32) -> DataFrame:
     """
     segments = distance // 2 + 1
     most = most if distance == 2 else 1 << 62
-    index = nodes.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key")).select("key.wild", "key.rest", "fp")
+    # A column of fingerprints is small, its index is not: it is dealt out before it is exploded.
+    dealt = nodes.select("fp").repartition(partitions(nodes.sparkSession), "fp")
+    index = dealt.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key")).select("key.wild", "key.rest", "fp")
     sorted_ = index.repartition("wild", "rest").sortWithinPartitions("wild", "rest", "fp")
     found = checkpointed(sorted_.mapInArrow(_verified(distance, segments, most), "a long, b long").distinct())
     pairs, crowded = found.where("b is not null"), found.where("b is null").select("a")

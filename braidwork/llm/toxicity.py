@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 ORDERS = (3, 4, 5, 6)
 TABLE_BITS = 18
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [_bytes(t) for t in batch.column(at).fill_null("").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(fitted.scores(texts))], names=[*kept, out_col])
 
