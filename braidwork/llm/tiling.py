@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 #: Words of a seed that a text and an item must share before they are tiled, and of the shortest tile.
 SEED_WORDS, TILE_WORDS = 5, 3
@@ -160,12 +160,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col:
 def _pass(rows: DataFrame, part: list[tuple[int, str]], text_col: str, out_col: str, seed: int, tile: int, coverage: float) -> DataFrame:
     names = rows.columns
     at, to = names.index(text_col), names.index(out_col)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("tiled_words", pa.int32()), ("item_words", pa.int32())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _Items(part, seed)
         get = items.number.get
-        for batch in batches:
+        for batch in slices(batches):
             numbered = [np.fromiter(map(get, words(t), repeat(0)), np.int64) for t in batch.column(at).fill_null("").to_pylist()]
             gap = np.zeros(1, np.int64)
             size = np.array([len(n) + 1 for n in numbered], np.int64)
@@ -180,7 +178,7 @@ def _pass(rows: DataFrame, part: list[tuple[int, str]], text_col: str, out_col:
                 tiled = sum(n for _, _, n in cover)
                 if tiled >= coverage * len(item):
                     found[t] = [*found[t], {"item_id": items.ids[k], "coverage": tiled / len(item), "n_tiles": len(cover), "tiled_words": tiled, "item_words": len(item)}]
-            yield pa.RecordBatch.from_arrays([pa.array(found, kind) if i == to else batch.column(i) for i in range(len(names))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(found, batch.schema.field(to).type) if i == to else batch.column(i) for i in range(len(names))], schema=batch.schema)
 
     return rows.mapInArrow(run, rows.schema)
 

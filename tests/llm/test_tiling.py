@@ -58,3 +58,11 @@ def test_odd_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert T.decontaminate(documents(spark), none).count() == documents(spark).count()
     assert T.find(documents(spark, []), none).count() == 0
+
+
+def test_batches_with_and_without_matches_share_a_schema(spark):
+    item = "one two three four five six seven"
+    rows = [(i, f"{i} {item}" if i % 1500 == 1499 else f"nothing {i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = T.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).where("size(matches) > 0")
+    assert sorted(r["doc_id"] for r in got.collect()) == [1499, 2999, 4499, 5999]
