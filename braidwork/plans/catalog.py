@@ -724,3 +724,61 @@ def _(spark, d):
     _DECIDE + " select series_id, case when count(*) filter (mandatory and not passed) > 0 then 'FAIL' when count(*) filter (mandatory and passed is null) > 0 then 'REVIEW' else 'PASS' end as status, count(*) as n_rules, count(*) filter (passed) as n_passed, count(*) filter (not passed) as n_failed, count(*) filter (passed is null) as n_indeterminate from rules group by all")
 def _(spark, d):
     return D.decision_status(_rules(spark, d))
+
+
+# ---- sets, peaks, vintages and paths
+
+from ..operators import sets as SE  # noqa: E402
+from ..sources.tables import monthly_keys  # noqa: E402
+
+
+def _positive(spark, d, pull):
+    return T.panel(spark, d).where((F.col("pull_id") == pull) & (F.col("value") > 0)).select("historical_date")
+
+
+@_query("compare_keys", "t:historical_date s:side",
+    "with a as (select historical_date as x from panel where pull_id = 'P001' and value > 0), b as (select historical_date as y from panel where pull_id = 'P002' and value > 0) select coalesce(x, y) as historical_date, case when x is not null and y is not null then 'both' when x is not null then 'left' else 'right' end as side from a full join b on x = y", ("panel",))
+def _(spark, d):
+    return SE.compare_keys(_positive(spark, d, "P001"), _positive(spark, d, "P002"), ["historical_date"])
+
+
+@_query("top_peaks", "s:series_id t:historical_date d:value i:rank", "select * from (select pull_id as series_id, historical_date, value, row_number() over (partition by pull_id order by value desc, historical_date) as rank, count(*) over (partition by pull_id) as n from panel) where rank <= ceil(0.05 * n)", ("panel",))
+def _(spark, d):
+    return SE.top_peaks(T.panel(spark, d).withColumn("series_id", F.col("pull_id")))
+
+
+@_query("abnormal_attention", "t:historical_date d:value d:anchor d:abnormal",
+    f"with {_DAILY_CTE}, m as (select historical_date, value, case when count(value) over w = 28 then median(value) over w end as anchor from daily window w as (order by historical_date rows between 28 preceding and 1 preceding)) select *, case when value > 0 and anchor > 0 then ln(value) - ln(anchor) end as abnormal from m", ("panel",))
+def _(spark, d):
+    return SE.abnormal_attention(_daily(spark, d))
+
+
+@_query("monthly_first_values", "i:month_key d:value", "select year(o_orderdate) * 100 + month(o_orderdate) as month_key, o_totalprice as value from orders qualify row_number() over (partition by year(o_orderdate) * 100 + month(o_orderdate) order by o_orderkey) = 1")
+def _(spark, d):
+    rows = T.table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("row_number"))
+    return monthly_keys(rows, "y", "m", "v")
+
+
+@_query("vintage_comparison", "i:n d:max_relative d:median_relative i:n_changed",
+    f"with {_DAILY_CTE}, j as (select historical_date, value as x, round(value, 2) as y, row_number() over (order by historical_date desc) as r from daily), g as (select abs(x - y) / nullif(abs(y), 0) as g from j where r > 3) select count(*) as n, max(g) as max_relative, median(g) as median_relative, count(*) filter (g > 1e-6) as n_changed from g", ("panel",))
+def _(spark, d):
+    rows = _daily(spark, d)
+    return X.vintage_comparison(rows, rows.withColumn("value", F.round("value", 2)))
+
+
+@_query("chain_error", EDGE + " i:steps d:log_scale d:error",
+    "with n as (select * from edges qualify row_number() over (partition by pull_id, chunk_i order by chunk_j) = 1) select pull_id, chunk_i, chunk_j, row_number() over w as steps, sum(log_ratio) over w as log_scale, sqrt(sum(1.0::double / n_usable) over w) as error from n window w as (partition by pull_id order by chunk_i rows unbounded preceding)", ("edges",))
+def _(spark, d):
+    return X.chain_error(_weighted_edges(spark, d))
+
+
+@_query("duplicate_summary", "i:n_pairs i:n_exact_pairs i:n_components d:max_component_share i:max_component_size", "select 45 as n_pairs, 1 as n_exact_pairs, 9 as n_components, 0.2::double as max_component_share, 2 as max_component_size")
+def _(spark, d):
+    rows = _with_copy(spark, d)
+    pairs = P.duplicate_pairs(rows)
+    return X.duplicate_summary(pairs, X.duplicate_components(pairs, rows))
+
+
+@_query("design_resistance", "i:n_chunks d:graph_resistance d:path_resistance d:reduction")
+def _(spark, d):
+    return spark.createDataFrame([X.design_resistance(T.windows(spark).orderBy("chunk_id").toPandas())])  # one row per window
