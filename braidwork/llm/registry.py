@@ -21,5 +21,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_secrets": secrets.ORACLE_SQL,
+    "op5_suffix_dedup": suffixes.ORACLE_SQL,
     "op10_embeddings": vectors.ORACLE_SQL,
 }

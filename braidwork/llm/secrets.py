@@ -251,11 +251,6 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     return docs.mapInArrow(run, docs.schema)
 
 
-def joined(spans) -> str:
-    """``kind:start:end`` by start, comma-joined."""
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """``op1_secrets``: counts and the digest of the base spans, and all spans, for every document."""
     from .common import table

@@ -396,3 +396,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: Every 50-byte string of the table, as hex, with the least document that it starts in.
+ORACLE_SQL = """
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select rid, doc_id, p, substr(h, 2 * p + 1, 100) as s from (select rid, doc_id, h, unnest(range(0, length(h) // 2 - 49)) as p from d where length(h) >= 100)),
+m as (select s, min(doc_id) as least from w group by s),
+f as (select w.rid, w.p from w join m using (s) where m.least < w.doc_id),
+g as (select rid, p, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by rid order by p) as k from (select rid, p, lag(p) over (partition by rid order by p) as before from f)),
+spans as (select rid, k, min(p) as a, max(p) + 50 as b from g group by rid, k),
+gaps as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as c from spans),
+kept as (select d.rid, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as h from gaps join d using (rid) group by d.rid)
+select d.doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join kept using (rid)
+"""
