@@ -21,6 +21,9 @@ class _Strict(BaseModel):
     model_config = ConfigDict(extra="forbid")
 
 
+# Field names and defaults are fixed values: the protocol hash depends on them.
+
+
 class Query(_Strict):
     series_id: str = "target"
     keyword: str
