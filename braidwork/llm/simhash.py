@@ -140,7 +140,7 @@ def links(nodes: DataFrame, distance: int = 2, most: int = 32) -> DataFrame:
     segments = distance // 2 + 1
     most = most if distance == 2 else 1 << 62
     # A column of fingerprints is small, its index is not: it is dealt out before it is exploded.
-    dealt = nodes.select("fp").repartition(partitions(nodes.sparkSession), "fp")
+    dealt = nodes.select("fp").repartition(partitions(nodes.sparkSession), F.xxhash64("fp"))
     index = dealt.select("fp", F.explode(_variants(F.col("fp"), segments)).alias("key")).select("key.wild", "key.rest", "fp")
     sorted_ = index.repartition("wild", "rest").sortWithinPartitions("wild", "rest", "fp")
     found = checkpointed(sorted_.mapInArrow(_verified(distance, segments, most), "a long, b long").distinct())
