@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,15 @@ def average_rank(partition, column: str) -> Column:
 
     ties = F.count("*").over(W.partitionBy(*partition, column))
     return F.rank().over(W.partitionBy(*partition).orderBy(column)) + (ties - 1) / F.lit(2.0)
+
+
+def ordered_pairs(rows: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """All pairs ``a``, ``b`` of the rows of a group, ``a`` first by ``fields``: columns ``by``, ``a``, ``b``.
+
+    One shuffle, where a self-join takes two and a sort of either side. For groups that the design
+    bounds only: the windows over a date, the pulls of a series.
+    """
+    groups = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("all"))
+    first = groups.select(*by, "all", F.posexplode("all").alias("i", "a"))
+    rest = F.slice("all", F.col("i") + 2, F.greatest(F.size("all") - F.col("i") - 1, F.lit(0)))
+    return first.select(*by, "a", F.explode(rest).alias("b"))

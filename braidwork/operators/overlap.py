@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import mad_scale, ratio
+from ..functions.expressions import mad_scale, ordered_pairs, ratio
 from ..functions.lineage import checkpointed
 from ..functions.robust import huber
 
@@ -48,16 +48,12 @@ class Calibration:
 def overlap_pairs(raw: DataFrame) -> DataFrame:
     """Values of two chunks of one pull on one date, the earlier window first; ties go by chunk id.
 
-    One equi-join on series, pull and date: a date lies in a bounded number of windows, so the join is
-    linear in the observations. Chunks are distinct by their first window start.
+    A date lies in a bounded number of windows, so the pairs are made within the rows of a date, and one
+    shuffle does for what reads as an interval join. A chunk's rows carry its window, as the audit checks.
     """
-    rows = raw.select(*PULL, "chunk_id", "historical_date", "value", "window_start", "window_end")
-    bounds = rows.groupBy(*PULL, "chunk_id").agg(F.min("window_start").alias("ws"), F.max("window_end").alias("we"))
-    rows = rows.drop("window_start", "window_end").join(bounds, [*PULL, "chunk_id"])
-    a = rows.select(*PULL, "historical_date", F.col("chunk_id").alias("chunk_i"), F.col("value").alias("value_i"), F.col("ws").alias("start_i"), F.col("we").alias("end_i"))
-    b = rows.select(*PULL, "historical_date", F.col("chunk_id").alias("chunk_j"), F.col("value").alias("value_j"), F.col("ws").alias("start_j"))
-    earlier = (F.col("start_i") < F.col("start_j")) | ((F.col("start_i") == F.col("start_j")) & (F.col("chunk_i") < F.col("chunk_j")))
-    return a.join(b, [*PULL, "historical_date"]).where(earlier & (F.col("start_j") <= F.col("end_i")))
+    pairs = ordered_pairs(raw, [*PULL, "historical_date"], ["window_start", "chunk_id", "window_end", "value"])
+    found = pairs.where("b.window_start <= a.window_end and a.chunk_id <> b.chunk_id")
+    return found.select(*PULL, "historical_date", F.col("a.chunk_id").alias("chunk_i"), F.col("a.value").alias("value_i"), F.col("b.chunk_id").alias("chunk_j"), F.col("b.value").alias("value_j"))
 
 
 def edges(raw: DataFrame, settings: Calibration = Calibration(), estimator: str = "huber") -> DataFrame:

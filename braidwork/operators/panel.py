@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expressions import average_rank, mad_scale, ratio, safe_corr
+from ..functions.expressions import average_rank, mad_scale, ordered_pairs, ratio, safe_corr
 
 KEY = ["series_id", "pull_id", "historical_date"]
 DATE = ["series_id", "historical_date"]
@@ -208,11 +208,12 @@ def fleiss_kappa(panel: DataFrame) -> DataFrame:
 def pull_pairs(panel: DataFrame, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """Both values of every pair of pulls on the dates that both have: ``pull_a < pull_b``.
 
-    The equi-join is on series and date; a series has few pulls, so its rows grow with the observations.
+    A series has few pulls, so the pairs are made within the rows of a date.
     """
-    a = panel.select("series_id", "historical_date", F.col("pull_id").alias("pull_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = panel.select("series_id", "historical_date", F.col("pull_id").alias("pull_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    return a.join(b, DATE).where("pull_a < pull_b and value_a is not null and value_b is not null")
+    known = panel.where("value is not null")
+    pairs = ordered_pairs(known, DATE, ["pull_id", *columns])
+    sides = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in columns]
+    return pairs.select(*DATE, F.col("a.pull_id").alias("pull_a"), F.col("b.pull_id").alias("pull_b"), *sides).where("pull_a < pull_b")
 
 
 PAIR = ["series_id", "pull_a", "pull_b"]
