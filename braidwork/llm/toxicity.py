@@ -176,7 +176,7 @@ def _softmax_fit(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray,
     state["E"][slots], state["W"], state["b"] = E, W, b
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 3, epochs: int = 30) -> Model:
+def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 3, epochs: int = 80) -> Model:
     """Fit on labelled texts. ``prior`` is the share of toxic rows among all that may teach.
 
     Rounds alternate between choosing the windows that stand for each text, the strongest of a toxic
