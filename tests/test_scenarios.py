@@ -15,7 +15,8 @@ def test_graph_and_sequential_calibration_are_close_and_per_pull(spark):
 def test_without_noise_both_calibrations_agree(spark):
     quiet = simulation.Settings(seed=3, chunk_noise=0.0, rounding=False)
     wide = scenarios.calibration_comparison(spark, protocol(), quiet).toPandas().pivot(index="pull_id", columns="estimator", values="rmse")
-    assert (wide["graph"] - wide["sequential"]).abs().max() < 1e-6
+    # The graph corrects for the variance of its scales, of which the floor is 1e-6.
+    assert (wide["graph"] - wide["sequential"]).abs().max() < 1e-5
 
 
 def test_scenarios_are_labelled(spark):
