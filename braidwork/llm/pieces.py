@@ -20,7 +20,7 @@ from .blocks import block_count, pack, squeeze, unpack, unsqueeze
 from .common import text_or_empty, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longer words are cut after so many characters before they are encoded.
+#: Longer words have no lattice of their own in the join; they are folded whole where they are asked for.
 MOST_CHARS = 48
 #: The piece table is broadcast; a vocabulary of more pieces is refused.
 MOST_PIECES = 2_000_000
@@ -109,12 +109,12 @@ def _flags(joins: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(joins, np.uint8), count=(_HIGH + 1) ** 2).view(bool)
 
 
-def _cut(text: str, flags: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cut(text: str, flags: np.ndarray, heads: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a text, and where its words begin, and end, the last of them.
 
     A word ends where no piece has the two characters side by side, so no piece spans two words and the
-    best splits of the words make up the best split of the text; before every place in ``heads``; and
-    after ``MOST_CHARS`` characters.
+    best splits of the words make up the best split of the text; before every place in ``heads``; and,
+    if ``most`` is given, after so many characters.
     """
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     low = np.minimum(code, _HIGH).astype(np.int32)
@@ -124,21 +124,21 @@ def _cut(text: str, flags: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, n
     apart[heads] = True
     cuts = np.flatnonzero(apart)
     size = np.diff(cuts)
-    if len(size) and size.max() > MOST_CHARS:
-        parts = -(-size // MOST_CHARS)
+    if most and len(size) and size.max() > most:
+        parts = -(-size // most)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        cuts = np.append(np.repeat(cuts[:-1], parts) + step * MOST_CHARS, len(code))
+        cuts = np.append(np.repeat(cuts[:-1], parts) + step * most, len(code))
     return code, cuts
 
 
 def splitter(joins: bytes) -> Callable[[str], list[str]]:
-    """The words of a text, whose concatenation is a space and the text; none for the empty text."""
+    """The words of a text, long ones in parts, whose concatenation is a space and the text; none for the empty text."""
     flags = _flags(joins)
 
     def split(text: str) -> list[str]:
         if not text:
             return []
-        cuts = _cut(" " + text, flags, np.zeros(0, np.int64))[1].tolist()
+        cuts = _cut(" " + text, flags, np.zeros(0, np.int64), MOST_CHARS)[1].tolist()
         return [f" {text}"[a:b] for a, b in zip(cuts, cuts[1:])]
 
     return split
@@ -149,6 +149,31 @@ def decode(spellings: list[bytes], ids) -> str:
     return b"".join(map(spellings.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+def folder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
+    """The split that ``encode_words`` gives a word, in time and memory that grow with its length."""
+    best = dict(zip(vocabulary.pieces, zip(vocabulary.scores, vocabulary.ids)))
+    longest, unknown = vocabulary.longest, (vocabulary.unknown, -1)
+
+    def run(word: str) -> list[int]:
+        score, come, ids = [0.0], [0], [0]
+        for e in range(1, len(word) + 1):
+            top = None
+            for s in range(max(0, e - longest), e):  # the longer last piece first
+                edge = best.get(word[s:e], unknown if s == e - 1 else None)
+                if edge is not None and (top is None or score[s] + edge[0] > top):
+                    top, start, piece = score[s] + edge[0], s, edge[1]
+            score.append(top)
+            come.append(start)
+            ids.append(piece)
+        out, e = [], len(word)
+        while e:
+            out.append(ids[e])
+            e = come[e]
+        return out[::-1]
+
+    return run
+
+
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``ids`` for every row of ``bucket, word``; words are distinct, not null and not empty.
 
@@ -255,17 +280,21 @@ def _distinct(rows: pd.DataFrame) -> pd.DataFrame:
     found: set[bytes] = set()
     for blob in rows["blob"]:
         found.update(_asked(blob))
-    return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "word": [w.decode() for w in found]})
+    return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "word": [t for w in found if len(t := w.decode()) <= MOST_CHARS]})
 
 
 def _answer(vocabulary: Vocabulary):
-    spell = vocabulary.spell()
+    spell, fold = vocabulary.spell(), folder(vocabulary)
 
     def run(asked: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
         ids = {w.encode(): (spell(w, i.tolist()) if i.min() < 0 else i) for w, i in zip(encoded["word"], encoded["ids"])}
         out = []
         for block, bucket, blob in zip(asked["block"], asked["bucket"], asked["blob"]):
-            found = [ids[w] for w in _asked(blob)]
+            found = []
+            for w in _asked(blob):
+                if w not in ids:  # a long word
+                    ids[w] = np.array(spell(t := w.decode(), fold(t)), np.int32)
+                found.append(ids[w])
             out.append((block, bucket, squeeze(np.array([len(x) for x in found], np.int32).tobytes() + np.concatenate(found).astype(np.int32).tobytes()), len(found)))
         del ids
         tidy()
@@ -324,8 +353,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str =
     """One row per input row: ``id, ids, n_tokens, n_words, round_trip``.
 
     ``round_trip`` says whether decoding the ids gives the text again. Null text is empty and has no
-    tokens; null ids and repeated rows are kept. Words of over ``MOST_CHARS`` characters are encoded in
-    parts of this length; a character without a piece is spelt in byte pieces. Ids are longs; the least long is reserved.
+    tokens; null ids and repeated rows are kept. Words of any length are encoded
+    whole; a character without a piece is spelt in byte pieces. Ids are longs; the least long is reserved.
 
     Documents are shuffled once, compressed, by blocks; each block asks the bucket of each of its
     distinct words for its pieces, so the lattice is built once per distinct word of the corpus.

@@ -60,3 +60,13 @@ def test_words_join_to_the_text(vocabulary):
     for text in ["", "a b", "x" * 200, " \n\t ", "éè▁"]:
         assert "".join(split(text)) == (" " + text if text else "")
     assert max(map(len, split("x" * 200))) <= S.MOST_CHARS
+
+
+def test_long_runs_are_split_best_as_a_whole(spark, vocabulary):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(10)]
+    texts += ["".join(sentence(rng, 25)) for _ in range(10)] + ["\u6f22\u5b57 and \u0939\u093f \u4eee\u540d " * 20, "x" * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in S.encode(docs, vocabulary).collect():
+        assert row["round_trip"]
+        assert row["ids"] == viterbi(vocabulary, texts[row["id"]])[1]
