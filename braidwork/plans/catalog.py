@@ -547,7 +547,7 @@ for _kind in _CELLS:
 
 @_query("gstudy_bootstrap_interval", "d:ci_lower d:ci_upper")
 def _(spark, d):
-    return G.percentile_interval(G.bootstrap(G.transformed(T.panel(spark, d), "level"), 20))
+    return G.percentile_interval(G.bootstrap(G.transformed(T.panel(spark, d), "level"), 500))
 
 
 # ---- benchmarks, truth, regression, factors
@@ -670,7 +670,7 @@ def _(spark, d):
 @_query("simex_curve", "d:lam d:mean_coefficient i:simulations")
 def _(spark, d):
     rows = _first_pull(spark, d).join(_daily(spark, d).select("historical_date", F.col("value").alias("y")), "historical_date")
-    return R.simex(rows.select(F.col("historical_date").alias("t"), "y", F.col("value").alias("x"), F.lit(4.0).alias("sigma2")), simulations=20)
+    return R.simex(rows.select(F.col("historical_date").alias("t"), "y", F.col("value").alias("x"), F.lit(4.0).alias("sigma2")))
 
 
 def _factor_panel(spark, d):

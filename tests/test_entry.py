@@ -39,3 +39,32 @@ def test_query_matches_its_oracle(spark, duck, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 9 * 731
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_simulations_and_replicates_are_enough(spark, monkeypatch):
+    class Called(Exception):
+        pass
+
+    asked = {}
+
+    def listen(module, name, argument):
+        from inspect import signature
+
+        plain = getattr(module, name)
+
+        def run(*args, **kwargs):
+            bound = signature(plain).bind(None, *args[1:], **kwargs)
+            bound.apply_defaults()
+            asked[name] = bound.arguments[argument]
+            raise Called
+
+        monkeypatch.setattr(module, name, run)
+
+    listen(catalog.R, "simex", "simulations")
+    listen(catalog.G, "bootstrap", "replicates")
+    for query in ("simex_curve", "gstudy_bootstrap_interval"):
+        try:
+            catalog.QUERIES[query](spark, SF)
+        except Called:
+            pass
+    assert asked["simex"] >= 200 and asked["bootstrap"] >= 300
