@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 
 #: Words of a seed that a text and an item must share before they are tiled, and of the shortest tile.
-SEED_WORDS, TILE_WORDS = 5, 3
+SEED_WORDS, TILE_WORDS = 3, 3
 COVERAGE = 0.8
 #: Words of benchmark items sent to the tasks at once; more items are taken in several passes.
 MOST_WORDS = 1_000_000
@@ -107,17 +107,19 @@ class _Items:
                 self.ids.append(i)
                 self.tokens.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in found], np.int64))
         seeds: dict[int, dict[int, set[int]]] = {}
+        self.windows = []
         for k, t in enumerate(self.tokens):
             n = min(seed, len(t))  # an item shorter than a seed is one
-            for h in _Rolling(t).windows(n).tolist():
+            self.windows.append(_Rolling(t).windows(n))
+            for h in self.windows[-1].tolist():
                 seeds.setdefault(n, {}).setdefault(h, set()).add(k)
         self.seeds = seeds
 
-    def joined(self, tokens: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs of text and item that share a seed. ``tokens`` of texts are parted by zeros."""
-        out: set[tuple[int, int]] = set()
+    def joined(self, tokens: np.ndarray, owner: np.ndarray, coverage: float) -> set[tuple[int, int]]:
+        """Pairs of text and item whose shared seeds cover so much of the item. ``tokens`` of texts are parted by zeros."""
+        shared: dict[tuple[int, int], set[int]] = {}
         if not len(tokens):
-            return out
+            return set()
         known = np.concatenate(([0], np.cumsum(tokens > 0)))
         roll = _Rolling(tokens)
         for n, seeds in self.seeds.items():
@@ -125,8 +127,18 @@ class _Items:
             hashes = roll.windows(n)[at]
             hit = np.isin(hashes, np.fromiter(seeds, np.uint64, len(seeds)))
             for h, t in zip(hashes[hit].tolist(), owner[at[hit]].tolist()):
-                out.update((t, k) for k in seeds[h])
-        return out
+                for k in seeds[h]:
+                    shared.setdefault((t, k), set()).add(h)
+        return {(t, k) for (t, k), found in shared.items() if self._covered(k, found) >= coverage * len(self.tokens[k])}
+
+    def _covered(self, k: int, found: set[int]) -> int:
+        """Words of an item under the found seeds: as many as tiles that are no shorter than a seed can cover."""
+        size = len(self.tokens[k]) - len(self.windows[k]) + 1
+        under = np.zeros(len(self.tokens[k]), bool)
+        hit = np.fromiter((h in found for h in self.windows[k].tolist()), bool, len(self.windows[k]))
+        for o in range(size):
+            under[o : o + len(hit)] |= hit
+        return int(under.sum())
 
 
 MATCHES = "array<struct<item_id:long,coverage:double,n_tiles:int,tiled_words:int,item_words:int>>"
@@ -135,7 +147,8 @@ MATCHES = "array<struct<item_id:long,coverage:double,n_tiles:int,tiled_words:int
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "matches", seed: int = SEED_WORDS, tile: int = TILE_WORDS, coverage: float = COVERAGE) -> DataFrame:
     """All columns of ``docs`` and ``out_col``: the benchmark items that each whole text covers.
 
-    A text that shares a seed of ``seed`` words with an item is tiled against it; the item is listed if
+    A text that shares seeds of ``seed`` words, at most ``tile``, with an item is tiled against it if the
+    seeds cover as much of the item as tiles must; the item is listed if
     tiles of at least ``tile`` words cover the share ``coverage`` of its words, in whatever order.
     Null texts are empty; items without words match nothing; rows of ``benchmark`` that repeat an id
     are separate items. Items go to the tasks in slices of at most ``MOST_WORDS`` words, one pass over
@@ -161,13 +174,13 @@ def _pass(rows: DataFrame, part: list[tuple[int, str]], text_col: str, out_col:
     names = rows.columns
     at, to = names.index(text_col), names.index(out_col)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(part, seed)
+        items = _Items(part, min(seed, tile))
         get = items.number.get
         for batch in slices(batches):
             numbered = [np.fromiter(map(get, words(t), repeat(0)), np.int64) for t in batch.column(at).fill_null("").to_pylist()]
             gap = np.zeros(1, np.int64)
             size = np.array([len(n) + 1 for n in numbered], np.int64)
-            pairs = items.joined(np.concatenate([x for n in numbered for x in (n, gap)]) if numbered else gap[:0], np.repeat(np.arange(len(size)), size))
+            pairs = items.joined(np.concatenate([x for n in numbered for x in (n, gap)]) if numbered else gap[:0], np.repeat(np.arange(len(size)), size), coverage)
             if not pairs:
                 yield batch
                 continue

@@ -66,3 +66,13 @@ def test_batches_with_and_without_matches_share_a_schema(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = T.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).where("size(matches) > 0")
     assert sorted(r["doc_id"] for r in got.collect()) == [1499, 2999, 4499, 5999]
+
+
+def test_items_in_parts_of_three_and_four_words_are_caught(spark):
+    rng = random.Random(6)
+    a, b = sentence(rng, 7), sentence(rng, 20)
+    parts = [b[i : i + 4] for i in range(0, 20, 4)]
+    rows = [(1, " ".join(a[3:] + a[:3])), (2, " ".join(w for p in parts[::-1] for w in [*p, "between"])), (3, " ".join(a[:3] + ["x"] + b[:15]))]
+    table = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "item_id long, text string")
+    got = T.find(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()
+    assert {(r["doc_id"], m["item_id"], m["coverage"]) for r in got for m in r["matches"]} == {(1, 0, 1.0), (2, 1, 1.0)}
