@@ -172,25 +172,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay: for each component one row, that of its smallest id.
 
-    Of rows that repeat this id one stays. In a component of null ids only, any one row stays.
+    An id that repeats with texts of several components stays once for each component whose smallest id
+    it is. Of rows that repeat an id and a fingerprint one stays. In a component of null ids only, any one row stays.
     """
     classes = near_duplicates(docs, id_col, text_col, distance, shingle)
     chosen = classes.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min_by("fp", F.struct("id", "fp")).alias("fp"), F.min("id").alias("keep_id"))
-    stay = chosen.select(F.col("keep_id").alias("__keep_id"), F.col("fp").alias("__keep_fp"))
-    named = stay.where("__keep_id is not null").select("__keep_id").distinct()
-    kept = docs.join(named, docs[id_col] == F.col("__keep_id"), "left_semi").dropDuplicates([id_col])
+    stay = checkpointed(chosen.select(F.col("keep_id").alias("__keep_id"), F.col("fp").alias("__keep_fp")))
+    named = stay.where("__keep_id is not null")
+    rows = docs.join(named.select("__keep_id").distinct(), docs[id_col] == F.col("__keep_id"), "left_semi")
+    repeated = rows.groupBy(F.col(id_col).alias("__keep_id")).agg(F.count("*").alias("__times")).where("__times > 1").select("__keep_id")
+    several = checkpointed(named.join(repeated, "__keep_id", "left_semi"))
+    if several.isEmpty():
+        kept = rows
+    else:  # only rows whose id repeats are told apart by their fingerprints
+        ids = several.select(F.col("__keep_id").alias("__id")).distinct()
+        kept = rows.join(ids, rows[id_col] == F.col("__id"), "left_anti").unionByName(_rows(rows.join(ids, rows[id_col] == F.col("__id"), "left_semi"), several, id_col, text_col, shingle))
     if (unnamed := stay.where("__keep_id is null")).isEmpty():
         return kept
-    return kept.unionByName(_null_rows(docs, unnamed, id_col, text_col, shingle))
+    return kept.unionByName(_rows(docs.where(F.col(id_col).isNull()), unnamed, id_col, text_col, shingle))
 
 
-def _null_rows(docs: DataFrame, unnamed: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """One row of null id for each fingerprint in ``unnamed``."""
-    columns = docs.columns
-    nulls = docs.where(F.col(id_col).isNull()).withColumn("__row", F.monotonically_increasing_id())
-    nulls = checkpointed(nulls)
-    prints = fingerprints(nulls, "__row", text_col, shingle).join(unnamed, F.col("fp") == F.col("__keep_fp"), "left_semi").groupBy("fp").agg(F.min("id").alias("first"))
-    return nulls.join(prints, F.col("__row") == F.col("first"), "left_semi").select(*columns)
+def _rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """One row of ``docs`` for each id, null or not, and fingerprint in ``stay``."""
+    rows = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
+    prints = fingerprints(rows, "__row", text_col, shingle).select(F.col("id").alias("__at"), F.col("fp").alias("__fp"))
+    own = rows.select("__row", F.col(id_col).alias("__id")).join(prints, F.col("__row") == F.col("__at"))
+    found = own.join(stay, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__fp") == F.col("__keep_fp")))
+    first = found.groupBy("__keep_id", "__keep_fp").agg(F.min("__row").alias("__first")).select("__first")
+    return rows.join(first, F.col("__row") == F.col("__first"), "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -80,3 +80,11 @@ def test_keep_one_and_odd_rows(spark):
     assert sorted(kept, key=str) == sorted(expected, key=str)
     assert S.near_duplicates(clashing(documents(spark))).count() == documents(spark).count()
     assert S.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_an_id_with_texts_of_several_components_leaves_one_row_of_each(spark):
+    rng = random.Random(21)
+    a, b, c = (" ".join(sentence(rng, 60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (0, c), (5, c), (1, c)]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(0, c), (1, a), (1, b)])
