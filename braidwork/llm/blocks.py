@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,17 @@ def unsqueeze(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def text_key(text: bytes) -> int:
+    """32 bits of a text's hash."""
+    return xxh64_intdigest(text) >> 32
+
+
 def pack(docs: DataFrame, n_blocks: int, unique: bool = False) -> DataFrame:
     """Rows ``block, blob`` of the rows ``id, text`` (no nulls): the part of each Arrow batch in each block.
 
     The block is a hash of the id, or with ``unique`` of the text; then a text that repeats in the batch
     is kept once, under its smallest id, so that a text with very many copies stays small.
+    With ``unique`` the block is ``text_key`` of the text modulo the blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +57,7 @@ def pack(docs: DataFrame, n_blocks: int, unique: bool = False) -> DataFrame:
                     if (old := first.get(t)) is None or i < old:
                         first[t] = i
                 texts, ids = list(first), list(first.values())
-                keys = [xxh64_intdigest(t) % n_blocks for t in texts]
+                keys = [text_key(t) % n_blocks for t in texts]
             else:
                 keys = [xxh64_intdigest(i.to_bytes(8, "little", signed=True)) % n_blocks for i in ids]
             found: dict[int, list[int]] = {}
@@ -84,3 +91,76 @@ def unpack(blobs: Iterable[bytes], unique: bool = False) -> tuple[np.ndarray, li
         rows = [(i, t) for t, i in first.items()]
     rows.sort()
     return np.array([i for i, _ in rows], np.int64), [t for _, t in rows]
+
+
+def freeze(columns: Sequence[np.ndarray]) -> bytes:
+    """Columns of one length as compressed bytes by place; the second, most often sorted, as its steps."""
+    parts = [np.array([len(columns[0])], np.int64).tobytes()]
+    for k, c in enumerate(columns):
+        if k == 1:
+            c = np.diff(c, prepend=np.zeros(1, c.dtype))
+        parts.append(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes())
+    return squeeze(b"".join(parts))
+
+
+def thaw(blobs: Iterable[bytes], dtypes: Sequence[str]) -> list[np.ndarray]:
+    """The columns of frozen parts, one part after the other."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in dtypes]
+    for blob in blobs:
+        raw = unsqueeze(blob)
+        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+        for k, t in enumerate(map(np.dtype, dtypes)):
+            c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n).T).view(t).reshape(-1)
+            found[k].append(np.cumsum(c, dtype=t) if k == 1 else c)
+            at += n * t.itemsize
+    return [np.concatenate(c) for c in found]
+
+
+#: Parts into which a task cuts what it sends, at most.
+FAN = 1024
+
+
+class Route:
+    """Records on their way from many tasks to ``n`` places, in as many hops as ``FAN`` parts a task need.
+
+    A task cuts its records into at most ``fan`` ranges of places. Where there are more places, what
+    ``fan`` tasks sent to a range meets in one task and is cut again. So the parts grow with the data
+    and not with its square, and none gets small.
+    """
+
+    def __init__(self, n: int, dtypes: Sequence[str], fan: int | None = None):
+        self.n, self.dtypes, self.fan = n, ["u4", *dtypes], fan or FAN
+        self.widths = [n]
+        while self.widths[-1] > 1:
+            self.widths.append(-(-self.widths[-1] // self.fan))
+        self.widths = self.widths[1:] or [1]
+
+    def send(self, place: np.ndarray, columns: Sequence[np.ndarray], hop: int = 0) -> list[tuple[int, bytes]]:
+        """Rows ``to, blob`` of records sorted by ``place`` and the first column."""
+        if not len(place):
+            return []
+        to = np.asarray(place, np.int64) // self.widths[hop]
+        cut = np.append(np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))), len(to)).tolist()
+        every = [np.asarray(c, t) for c, t in zip((place, *columns), self.dtypes)]
+        return [(int(to[a]), freeze([c[a:b] for c in every])) for a, b in zip(cut, cut[1:])]
+
+    def deliver(self, rows: DataFrame) -> DataFrame:
+        """Rows ``to, sender, blob`` at their places, from such rows as ``send`` makes them."""
+        for hop in range(1, len(self.widths)):
+            meet = rows.withColumn("sender", F.floor(F.col("sender") / self.fan).cast("int"))
+            rows = meet.groupBy("to", "sender").applyInPandas(self._again(hop), "to int, sender int, blob binary")
+        return rows
+
+    def _again(self, hop: int):
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            columns = self.received(part["blob"])
+            order = np.lexsort((columns[1], columns[0]))
+            columns = [c[order] for c in columns]
+            out = self.send(columns[0], columns[1:], hop)
+            return pd.DataFrame({"to": [t for t, _ in out], "sender": part["sender"].iloc[0], "blob": [b for _, b in out]})
+
+        return run
+
+    def received(self, blobs: Iterable[bytes]) -> list[np.ndarray]:
+        """The records' places and columns."""
+        return thaw(blobs, self.dtypes)
