@@ -11,9 +11,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` without its plan, from the folder that the cluster names in ``spark.checkpoint.dir``.
 
     A table that several stages read is computed once, and the plans that follow stay small enough to
-    analyse. Only where the session names no folder, as in local tests, a temporary one is set.
+    analyse. Where the session names no folder a local session gets a temporary one; on a cluster, whose
+    executors would not share it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braidwork-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="braidwork-"))
     return df.checkpoint(eager=True)

@@ -89,8 +89,9 @@ def design_weighted(panel: DataFrame, cell_columns=("collection_day", "stream_id
     """The fixed mixture of design-cell means, one row per date.
 
     A cell's mean on a date is that of its pulls, null with ``complete`` if one of them has no value.
-    The mixture is null unless all cells have a mean. ``weights`` has ``design_cell, target_weight``;
-    by default cells weigh the same.
+    The mixture is null unless all cells have a mean. ``weights`` has ``design_cell, target_weight``, one
+    row for each cell of every series; cells without a weight, weights without a cell, repeated, negative,
+    missing or infinite weights, and a sum of zero are errors. By default cells weigh the same.
     """
     cell = F.concat_ws("|", *[F.col(c).cast("string") for c in cell_columns])
     design = panel.select("series_id", "pull_id", cell.alias("design_cell")).distinct()
@@ -102,14 +103,26 @@ def design_weighted(panel: DataFrame, cell_columns=("collection_day", "stream_id
         share = F.lit(1.0) / F.count("*").over(W.partitionBy(*DATE))
         means = means.withColumn("w", share)
     else:
-        total = weights.agg(F.sum("target_weight").alias("total"))
-        shares = weights.crossJoin(F.broadcast(total)).select("design_cell", (F.col("target_weight") / F.col("total")).alias("w"))
-        means = means.join(F.broadcast(shares), "design_cell")
+        means = means.join(_cell_weights(design, weights), ["series_id", "design_cell"])
     every = F.count("m") == F.count("*")
     sd = F.when(F.count("*") > 1, F.when(F.count("m") > 1, F.stddev_samp("m"))).otherwise(F.lit(0.0))
     return means.groupBy(*DATE).agg(F.when(every, F.sum(F.col("w") * F.col("m"))).alias("value"), sd.alias("between_cell_sd"), F.count("m").alias("n_design_cells_available"), every.alias("complete_cell_coverage"))
 
 
+def _cell_weights(design: DataFrame, weights: DataFrame) -> DataFrame:
+    """The share ``w`` of every cell of a series, or an error. Both tables grow with the design's cells only."""
+    cells = design.select("series_id", "design_cell").distinct()
+    given = weights.select("design_cell", F.col("target_weight").cast("double").alias("t"), F.lit(True).alias("given"))
+    both = cells.select("series_id").distinct().crossJoin(given).join(cells.withColumn("cell", F.lit(True)), ["series_id", "design_cell"], "full")
+    of = W.partitionBy("series_id")
+    t, total = F.col("t"), F.sum("t").over(of)
+    unusable = t.isNull() | F.isnan(t) | (F.abs(t) == float("inf")) | (t < 0)
+    wrong = F.col("given").isNull() | F.col("cell").isNull() | unusable | (F.count("*").over(W.partitionBy("series_id", "design_cell")) > 1)
+    either = F.max(F.coalesce(wrong, F.lit(True))).over(of) | F.coalesce(total <= 0, F.lit(True))
+    message = F.concat(F.lit("weights must match the design cells, once each, be finite and not negative, and have a positive sum; series "), F.col("series_id"))
+    return both.select("series_id", "design_cell", F.when(either, F.raise_error(message).cast("double")).otherwise(t / total).alias("w"))
+
+
 def median_residuals(panel: DataFrame) -> DataFrame:
     """Residuals about the cross-pull median of each date."""
     return panel.withColumn("residual", F.col("value") - F.median("value").over(W.partitionBy(*DATE)))

@@ -89,8 +89,8 @@ class Audit:
 
 
 def endpoint_drift(data: DataFrame, start, end) -> DataFrame:
-    """Pulls whose first or last date is not the locked one."""
-    ends = data.groupBy("pull_id").agg(F.min("historical_date").alias("first"), F.max("historical_date").alias("last"))
+    """Pulls of a series whose first or last date is not the locked one."""
+    ends = data.groupBy("series_id", "pull_id").agg(F.min("historical_date").alias("first"), F.max("historical_date").alias("last"))
     return ends.where((F.col("first") != F.lit(str(start)).cast("date")) | (F.col("last") != F.lit(str(end)).cast("date")))
 
 
@@ -105,15 +105,16 @@ def chunk_drift(data: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def missing_chunks(data: DataFrame, expected: DataFrame) -> DataFrame:
-    """Locked chunks that a pull does not have."""
-    wanted = data.select("pull_id").distinct().crossJoin(F.broadcast(expected.select("chunk_id")))
-    return wanted.join(data.select("pull_id", "chunk_id").distinct(), ["pull_id", "chunk_id"], "left_anti")
+    """Locked chunks that a pull of a series does not have."""
+    have = data.select("series_id", "pull_id", "chunk_id").distinct()
+    wanted = have.select("series_id", "pull_id").distinct().crossJoin(F.broadcast(expected.select("chunk_id")))  # the protocol's chunks
+    return wanted.join(have, ["series_id", "pull_id", "chunk_id"], "left_anti")
 
 
 def ambiguous_pulls(data: DataFrame) -> DataFrame:
-    """Design rows of pulls that have more than one."""
-    rows = data.select("pull_id", "collection_day", "stream_id", "replicate_id").distinct()
-    return rows.withColumn("n", F.count("*").over(W.partitionBy("pull_id"))).where("n > 1").drop("n")
+    """Design rows of pulls of a series that have more than one."""
+    rows = data.select("series_id", "pull_id", "collection_day", "stream_id", "replicate_id").distinct()
+    return rows.withColumn("n", F.count("*").over(W.partitionBy("series_id", "pull_id"))).where("n > 1").drop("n")
 
 
 def batch_summary(data: DataFrame) -> DataFrame:

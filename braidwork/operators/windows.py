@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from datetime import date, timedelta
+from datetime import date
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,41 +42,49 @@ def chunk_windows(spark: SparkSession, start: date | str, end: date | str, windo
     )
 
 
-def _rotated(items: Sequence[str], row: int) -> list[str]:
-    """A cyclic order; on every other cycle all but its first item are reversed."""
-    shift, cycle = row % len(items), row // len(items)
-    turned = [*items[shift:], *items[:shift]]
-    return turned if cycle % 2 == 0 else turned[:1] + turned[:0:-1]
-
-
 def collection_schedule(spark: SparkSession, config, chunk_ids: Sequence[str], anchor: date | str) -> DataFrame:
-    """The locked plan, one row per pull: days by offset, streams rotated by day, replicates in a slot.
+    """The locked plan, one row per pull: days by offset, streams in turn, replicates in a slot.
 
-    The order of chunks rotates with the pull and is reversed on odd ones. Replicates, where there are
-    several, begin up to four minutes apart, by the design's seed.
+    With balancing, the streams of a day begin one further than those of the day before, and go backward
+    on every other round of days; the chunks of a pull begin one further than those of the pull before,
+    and every other pull takes them backward. Replicates, where there are several, begin up to four
+    minutes late, by a hash of the design's seed. All of a row follows from its number.
     """
     design, query = config.design, config.query
-    rng = np.random.default_rng(design.random_seed)
-    first, rows = _day(anchor), []
-    for day, offset in enumerate(design.day_offsets):
-        when = first + timedelta(days=offset)
-        streams = _rotated(design.streams, day) if design.balance_stream_order else list(design.streams)
-        for position, stream in enumerate(streams):
-            hour, minute = map(int, design.time_slots[position % len(design.time_slots)].split(":"))
-            for replicate in range(1, design.technical_replicates + 1):
-                n = len(rows)
-                order = list(chunk_ids)
-                if design.balance_chunk_order and order:
-                    order = order[n % len(order) :] + order[: n % len(order)]
-                    order = order[::-1] if n % 2 else order
-                later = int(rng.integers(0, 5)) if design.technical_replicates > 1 else 0
-                begin = f"{when.isoformat()}T{hour + (minute + later) // 60:02d}:{(minute + later) % 60:02d}:00"
-                rows.append(
-                    (f"P{n + 1:03d}", query.series_id, offset, day, when.isoformat(), begin, stream, position + 1, str(replicate), len(order), json.dumps(order),
-                     query.historical_start.isoformat(), query.historical_end.isoformat(), config.protocol_hash())
-                )
-    return spark.createDataFrame(
-        rows,
-        "pull_id string, series_id string, day_offset int, collection_day int, planned_collection_date string, planned_start_time string, stream_id string,"
-        " stream_order int, replicate_id string, chunk_count int, chunk_order_json string, historical_start string, historical_end string, protocol_hash string",
+    days, streams, chunks, slots = len(design.day_offsets), len(design.streams), len(chunk_ids), len(design.time_slots)
+    strings = lambda items: F.array(*map(F.lit, items)) if items else F.array().cast("array<string>")
+    n, replicates = F.col("id"), design.technical_replicates
+    day, at = F.floor(n / (streams * replicates)).cast("int"), F.pmod(F.floor(n / replicates), F.lit(streams)).cast("int")
+    stream = at
+    if design.balance_stream_order:
+        back = F.pmod(F.floor(day / streams), F.lit(2)) == 1
+        stream = F.pmod(day + F.when(back, -at).otherwise(at), F.lit(streams))
+    step = F.sequence(F.lit(0), F.lit(chunks - 1)) if chunks else F.array().cast("array<int>")
+    if design.balance_chunk_order and chunks:
+        order = F.transform(step, lambda i: F.pmod(n + F.when(n % 2 == 1, chunks - 1 - i).otherwise(i), F.lit(chunks)))
+    else:
+        order = step
+    minute = F.get(F.array(*[F.lit(60 * int(t.split(":")[0]) + int(t.split(":")[1])) for t in design.time_slots]), F.pmod(at, F.lit(slots)))
+    late = F.pmod(F.xxhash64(F.lit(design.random_seed), n), F.lit(5)).cast("int") if replicates > 1 else F.lit(0)
+    rows = spark.range(days * streams * replicates).select(
+        "id", day.alias("day"), at.alias("at"), stream.cast("int").alias("stream"), order.alias("order"), (minute + late).alias("minute"), (n % replicates + 1).alias("replicate"),
+        F.get(F.array(*map(F.lit, design.day_offsets)), day).alias("day_offset"),
+    )
+    when = F.date_add(F.lit(_day(anchor)), F.col("day_offset"))
+    begin = F.concat(F.date_add(when, F.floor(F.col("minute") / 1440).cast("int")).cast("string"), F.format_string("T%02d:%02d:00", F.floor(F.pmod("minute", F.lit(1440)) / 60), F.pmod("minute", F.lit(60))))
+    return rows.select(
+        F.format_string("P%03d", F.col("id") + 1).alias("pull_id"),
+        F.lit(query.series_id).alias("series_id"),
+        "day_offset",
+        F.col("day").alias("collection_day"),
+        when.cast("string").alias("planned_collection_date"),
+        begin.alias("planned_start_time"),
+        F.get(strings(design.streams), F.col("stream")).alias("stream_id"),
+        (F.col("at") + 1).alias("stream_order"),
+        F.col("replicate").cast("string").alias("replicate_id"),
+        F.size("order").alias("chunk_count"),
+        F.to_json(F.transform("order", lambda i: F.get(strings(list(chunk_ids)), i.cast("int")))).alias("chunk_order_json"),
+        F.lit(query.historical_start.isoformat()).alias("historical_start"),
+        F.lit(query.historical_end.isoformat()).alias("historical_end"),
+        F.lit(config.protocol_hash()).alias("protocol_hash"),
     )

@@ -6,21 +6,30 @@ suppliers shipped. Chunks are windows of a pull, each scaled to its own maximum
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.windows import chunk_windows
 
-START, END, WINDOW_DAYS, STEP_DAYS, PULLS = "1996-01-01", "1997-12-31", 180, 30, 9
+WINDOW_DAYS, STEP_DAYS, PULLS = 180, 30, 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def calendar(spark: SparkSession, start: str = START, end: str = END) -> DataFrame:
-    return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("historical_date"))
+def span(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """The first and last day on which anything was shipped; one day for an empty table."""
+    day = F.col("l_shipdate").cast("date")
+    row = table(spark, sf_dir, "lineitem").agg(F.min(day), F.max(day)).first()
+    return (row[0], row[1]) if row[0] else (date(1970, 1, 1), date(1970, 1, 1))
+
+
+def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
+    return spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("historical_date"))
 
 
 def pulls(spark: SparkSession) -> DataFrame:
@@ -35,24 +44,24 @@ def pulls(spark: SparkSession) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, dates: tuple[date, date] | None = None) -> DataFrame:
     """The complete panel: every pull on every date, with zeros where nothing was shipped."""
     day = F.col("l_shipdate").cast("date")
-    sales = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= START) & (F.col("l_shipdate") < F.date_add(F.lit(END).cast("date"), 1)))
-    sales = sales.groupBy((F.col("l_suppkey") % PULLS).alias("p"), day.alias("historical_date")).agg(F.sum("l_quantity").alias("q"))
-    grid = F.broadcast(pulls(spark)).crossJoin(F.broadcast(calendar(spark)))  # 9 pulls on 731 dates
+    sales = table(spark, sf_dir, "lineitem").where(day.isNotNull()).groupBy((F.col("l_suppkey") % PULLS).alias("p"), day.alias("historical_date")).agg(F.sum("l_quantity").alias("q"))
+    grid = F.broadcast(pulls(spark)).crossJoin(F.broadcast(calendar(spark, *(dates or span(spark, sf_dir)))))  # 9 pulls on some thousand dates
     rows = grid.join(sales, ["p", "historical_date"], "left")
     return rows.select("series_id", "pull_id", "historical_date", F.coalesce("q", F.lit(0.0)).alias("value"), "collection_day", "stream_id", "replicate_id")
 
 
-def windows(spark: SparkSession) -> DataFrame:
-    return chunk_windows(spark, START, END, WINDOW_DAYS, STEP_DAYS)
+def windows(spark: SparkSession, sf_dir: str, dates: tuple[date, date] | None = None) -> DataFrame:
+    return chunk_windows(spark, *(dates or span(spark, sf_dir)), WINDOW_DAYS, STEP_DAYS)
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw chunk rows: each window's values as whole hundredths of its maximum."""
-    days = windows(spark).select("chunk_id", "window_start", "window_end", F.explode(F.sequence("window_start", "window_end")).alias("historical_date"))
-    rows = panel(spark, sf_dir).join(F.broadcast(days), "historical_date")  # as many rows as windows have days
+    dates = span(spark, sf_dir)
+    days = windows(spark, sf_dir, dates).select("chunk_id", "window_start", "window_end", F.explode(F.sequence("window_start", "window_end")).alias("historical_date"))
+    rows = panel(spark, sf_dir, dates).join(F.broadcast(days), "historical_date")  # as many rows as windows have days
     top = F.max("value").over(W.partitionBy("series_id", "pull_id", "chunk_id"))
     value = F.rint(F.try_divide(100 * F.col("value"), top)).alias("value")
     return rows.select("series_id", "pull_id", "chunk_id", "historical_date", value, "collection_day", "stream_id", "replicate_id", "window_start", "window_end")
@@ -62,19 +71,20 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly benchmark periods of the cross-pull mean on the scale of 100."""
     rows = panel(spark, sf_dir)
     level = F.avg("value").over(W.partitionBy("series_id"))
-    month = F.trunc("historical_date", "MM")
     scaled = rows.withColumn("v", 100 * F.col("value") / level)
-    return scaled.groupBy("series_id", month.alias("period_start")).agg(F.max("historical_date").alias("period_end"), F.avg("v").alias("value"))
+    by_month = scaled.groupBy("series_id", F.trunc("historical_date", "MM").alias("month"))
+    return by_month.agg(F.min("historical_date").alias("period_start"), F.max("historical_date").alias("period_end"), F.avg("v").alias("value")).drop("month")
 
 
 #: The same tables for DuckDB; each uses those before it.
 CTES = {
-    "days": f"select cast(unnest(generate_series(timestamp '{START}', timestamp '{END}', interval 1 day)) as date) as historical_date",
+    "bounds": "select min(cast(l_shipdate as date)) as first_day, max(cast(l_shipdate as date)) as last_day from lineitem",
+    "days": "select cast(unnest(generate_series(first_day::timestamp, last_day::timestamp, interval 1 day)) as date) as historical_date from bounds",
     "pulls": "select 'S1' as series_id, 'P00' || (p + 1) as pull_id, (p % 3)::int as collection_day, substr('ABC', (p // 3)::int + 1, 1) as stream_id, '1' as replicate_id, p from (select unnest(range(9)) as p)",
-    "sales": f"select l_suppkey % 9 as p, cast(l_shipdate as date) as historical_date, sum(l_quantity) as q from lineitem where cast(l_shipdate as date) between date '{START}' and date '{END}' group by all",
+    "sales": "select l_suppkey % 9 as p, cast(l_shipdate as date) as historical_date, sum(l_quantity) as q from lineitem group by all",
     "panel": "select series_id, pull_id, d.historical_date, coalesce(q, 0)::double as value, collection_day, stream_id, replicate_id from pulls cross join days d left join sales s on s.p = pulls.p and s.historical_date = d.historical_date",
-    "offsets": f"select distinct o from (select unnest(range(0, {-(-(730 - WINDOW_DAYS + 1) // STEP_DAYS)})) * {STEP_DAYS} as o union all select {730 - WINDOW_DAYS + 1})",
-    "windows": f"select 'C' || lpad(row_number() over (order by o)::varchar, 4, '0') as chunk_id, (date '{START}' + o::int)::date as window_start, (date '{START}' + o::int + {WINDOW_DAYS - 1})::date as window_end from offsets",
+    "offsets": f"select distinct o from (select unnest(range(0, ceil(greatest(last_day - first_day - {WINDOW_DAYS - 1}, 0) / {STEP_DAYS})::bigint)) * {STEP_DAYS} as o from bounds union all select greatest(last_day - first_day - {WINDOW_DAYS - 1}, 0) from bounds)",
+    "windows": f"select 'C' || lpad(row_number() over (order by o)::varchar, 4, '0') as chunk_id, (first_day + o::int)::date as window_start, least(first_day + o::int + {WINDOW_DAYS - 1}, last_day)::date as window_end from offsets cross join bounds",
     "raw": "select series_id, pull_id, chunk_id, historical_date, round_even((100 * value / nullif(max(value) over (partition by pull_id, chunk_id), 0))::double, 0) as value, collection_day, stream_id, replicate_id, window_start, window_end from panel join windows on historical_date between window_start and window_end",
     "pairs": "select a.series_id, a.pull_id, a.chunk_id as chunk_i, b.chunk_id as chunk_j, a.historical_date, a.value as value_i, b.value as value_j, case when a.value >= 2 and b.value >= 2 then ln(a.value) - ln(b.value) end as d from raw a join raw b on a.series_id = b.series_id and a.pull_id = b.pull_id and a.historical_date = b.historical_date and a.window_start < b.window_start",
     "edges": "select series_id, pull_id, chunk_i, chunk_j, median(d) as log_ratio, count(*) as n_overlap, count(d) as n_usable from pairs group by all having count(*) >= 14 and count(d) >= 14",
@@ -83,7 +93,7 @@ CTES = {
     "scaled": "select series_id, pull_id, historical_date, collection_day, stream_id, replicate_id, value * (100 / avg(value) over (partition by pull_id)) as value from panel",
     "ppairs": "select a.series_id, a.pull_id as pull_a, b.pull_id as pull_b, a.historical_date, a.value as x, b.value as y from panel a join panel b on a.historical_date = b.historical_date and a.pull_id < b.pull_id",
     "inno": "select * from (select *, ln(1 + value) - lag(ln(1 + value)) over (partition by pull_id order by historical_date) as innovation from panel) where innovation is not null",
-    "months": "select series_id, date_trunc('month', historical_date)::date as period_start, max(historical_date) as period_end, avg(v) as value from (select *, 100 * value / avg(value) over () as v from panel) group by all",
+    "months": "select series_id, min(historical_date) as period_start, max(historical_date) as period_end, avg(v) as value from (select *, date_trunc('month', historical_date) as month, 100 * value / avg(value) over () as v from panel) group by series_id, month",
 }
 _ORDER = list(CTES)
 
@@ -101,6 +111,8 @@ def duck(body: str, *names: str) -> str:
     if not need:
         return body
     head = ", ".join(f"{n} as ({CTES[n]})" for n in _ORDER if n in need)
+    if body.lstrip().lower().startswith("with recursive "):
+        return f"with recursive {head}, {body.lstrip()[15:]}"
     if body.lstrip().lower().startswith("with "):
         return f"with {head}, {body.lstrip()[5:]}"
     return f"with {head} {body}"

@@ -21,8 +21,10 @@ from ..operators import overlap as O
 from ..operators import panel as P
 from ..operators import regression as R
 from ..operators import validation as V
+from ..operators.windows import collection_schedule
 from . import binding as T
 from .binding import duck
+from .config import Protocol
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,7 +55,7 @@ EDGE = "s:pull_id s:chunk_i s:chunk_j"
 
 @_query("chunk_windows", "s:chunk_id t:window_start t:window_end", "select * from windows", ("windows",))
 def _(spark, d):
-    return T.windows(spark)
+    return T.windows(spark, d)
 
 
 @_query("raw_chunks", "s:pull_id s:chunk_id t:historical_date d:value i:collection_day s:stream_id t:window_start t:window_end", "select * from raw", ("raw",))
@@ -109,23 +111,27 @@ def _(spark, d):
     return V.coerce_raw_chunks(_dirty(spark, d))
 
 
-_DRIFT = """drift as (select series_id, case when chunk_id = 'C0009' and pull_id = 'P002' then 'X0009' else chunk_id end as chunk_id, pull_id, historical_date, value,
-  case when pull_id = 'P004' and chunk_id = 'C0002' then 7 else collection_day end as collection_day, stream_id, replicate_id,
+_DRIFT = """rows2 as (select * from raw union all select * replace ('S2' as series_id) from raw where pull_id <> 'P009' and chunk_id <> 'C0001'),
+drift as (select series_id, case when chunk_id = 'C0009' and pull_id = 'P002' then 'X0009' else chunk_id end as chunk_id, pull_id, historical_date, value,
+  case when series_id = 'S1' and pull_id = 'P004' and chunk_id = 'C0002' then 7 else collection_day end as collection_day, stream_id, replicate_id,
   case when pull_id = 'P005' and chunk_id = 'C0006' then window_start - 1 else window_start end as window_start, window_end
-  from raw where not (pull_id = 'P003' and chunk_id in ('C0005', 'C0020')))"""
+  from rows2 where not (series_id = 'S1' and pull_id = 'P003' and chunk_id in ('C0005', 'C0020')))"""
 
 
 def _drift(spark, d):
-    rows = T.raw(spark, d).where("not (pull_id = 'P003' and chunk_id in ('C0005', 'C0020'))")
+    """Two series of the same pull ids, of which the second lacks a pull and a chunk, and the first has other faults."""
+    rows = T.raw(spark, d)
+    rows = rows.unionByName(rows.where("pull_id <> 'P009' and chunk_id <> 'C0001'").withColumn("series_id", F.lit("S2")))
+    rows = rows.where("not (series_id = 'S1' and pull_id = 'P003' and chunk_id in ('C0005', 'C0020'))")
     at = lambda p, c: (F.col("pull_id") == p) & (F.col("chunk_id") == c)
-    rows = rows.withColumn("collection_day", F.when(at("P004", "C0002"), 7).otherwise(F.col("collection_day")))
+    rows = rows.withColumn("collection_day", F.when(at("P004", "C0002") & (F.col("series_id") == "S1"), 7).otherwise(F.col("collection_day")))
     rows = rows.withColumn("window_start", F.when(at("P005", "C0006"), F.date_sub("window_start", 1)).otherwise(F.col("window_start")))
     return rows.withColumn("chunk_id", F.when(at("P002", "C0009"), "X0009").otherwise(F.col("chunk_id")))
 
 
-@_query("audit_endpoint_drift", "s:pull_id t:first t:last", f"with {_DRIFT} select pull_id, min(historical_date) as first, max(historical_date) as last from drift group by pull_id having min(historical_date) <> date '{T.START}' or max(historical_date) <> date '{T.END}'", ("raw",))
+@_query("audit_endpoint_drift", "s:series_id s:pull_id t:first t:last", f"with {_DRIFT} select series_id, pull_id, first, last from (select series_id, pull_id, min(historical_date) as first, max(historical_date) as last from drift group by all) cross join bounds where first <> first_day or last <> last_day", ("raw", "bounds"))
 def _(spark, d):
-    return V.endpoint_drift(_drift(spark, d), T.START, T.END)
+    return V.endpoint_drift(_drift(spark, d), *T.span(spark, d))
 
 
 @_query(
@@ -137,19 +143,58 @@ def _(spark, d):
     ("raw", "windows"),
 )
 def _(spark, d):
-    return V.chunk_drift(_drift(spark, d), T.windows(spark))
+    return V.chunk_drift(_drift(spark, d), T.windows(spark, d))
 
 
-@_query("audit_missing_chunks", "s:pull_id s:chunk_id", f"with {_DRIFT} select p.pull_id, w.chunk_id from (select distinct pull_id from drift) p cross join windows w where not exists (select 1 from drift x where x.pull_id = p.pull_id and x.chunk_id = w.chunk_id)", ("raw", "windows"))
+@_query("audit_missing_chunks", "s:series_id s:pull_id s:chunk_id", f"with {_DRIFT} select p.series_id, p.pull_id, w.chunk_id from (select distinct series_id, pull_id from drift) p cross join windows w where not exists (select 1 from drift x where x.series_id = p.series_id and x.pull_id = p.pull_id and x.chunk_id = w.chunk_id)", ("raw", "windows"))
 def _(spark, d):
-    return V.missing_chunks(_drift(spark, d), T.windows(spark))
+    return V.missing_chunks(_drift(spark, d), T.windows(spark, d))
 
 
-@_query("audit_ambiguous_pulls", "s:pull_id i:collection_day s:stream_id s:replicate_id", f"with {_DRIFT} select * from (select distinct pull_id, collection_day, stream_id, replicate_id from drift) qualify count(*) over (partition by pull_id) > 1", ("raw",))
+@_query("audit_ambiguous_pulls", "s:series_id s:pull_id i:collection_day s:stream_id s:replicate_id", f"with {_DRIFT} select * from (select distinct series_id, pull_id, collection_day, stream_id, replicate_id from drift) qualify count(*) over (partition by series_id, pull_id) > 1", ("raw",))
 def _(spark, d):
     return V.ambiguous_pulls(_drift(spark, d))
 
 
+def _schedule_protocol(spark, d):
+    first, last = T.span(spark, d)
+    return Protocol.model_validate({"query": {"series_id": "S1", "keyword": "quantity", "geo": "US", "historical_start": str(first), "historical_end": str(last)}, "design": {"day_offsets": [0, 1, 2, 7, 14], "streams": ["A", "B", "C"]}, "chunking": {"window_days": T.WINDOW_DAYS, "step_days": T.STEP_DAYS}})
+
+
+#: Streams A, B, C on days 0, 1, 2, 7 and 14 as the balanced plan orders them, three slots, all windows.
+_SCHEDULE = """with n as (select unnest(range(15)) as n), w as (select list(chunk_id order by chunk_id) as c from windows),
+  p as (select n, n // 3 as day, n % 3 as turn, [0, 1, 2, 7, 14][n // 3 + 1] as day_offset, case when (n // 9) % 2 = 0 then (n // 3 + n % 3) % 3 else (n // 3 + 6 - n % 3) % 3 end as stream from n),
+  x as (select p.*, last_day + day_offset::int as planned, [c[((n + case when n % 2 = 1 then len(c) - 1 - i else i end) % len(c) + 1)::int] for i in range(len(c))] as o from p cross join w cross join bounds)
+  select 'P' || lpad((n + 1)::varchar, 3, '0') as pull_id, day_offset, day as collection_day, planned::date::varchar as planned_collection_date, planned::date::varchar || 'T' || ['09:00', '13:00', '17:00'][turn + 1] || ':00' as planned_start_time,
+  ['A', 'B', 'C'][stream + 1] as stream_id, turn + 1 as stream_order, '1' as replicate_id, len(o) as chunk_count, '["' || array_to_string(o, '","') || '"]' as chunk_order_json from x"""
+
+
+@_query("collection_schedule", "s:pull_id i:day_offset i:collection_day s:planned_collection_date s:planned_start_time s:stream_id i:stream_order s:replicate_id i:chunk_count s:chunk_order_json", _SCHEDULE, ("windows", "bounds"))
+def _(spark, d):
+    chunks = [r[0] for r in T.windows(spark, d).select("chunk_id").orderBy("chunk_id").collect()]  # one for each window
+    return collection_schedule(spark, _schedule_protocol(spark, d), chunks, T.span(spark, d)[1])
+
+
+#: Of the rows of P006 some were asked for in another place, and some under another protocol.
+@_query("audit_issues", "s:severity s:code i:rows",
+    f"""with {_DRIFT}, spec as (select *, case when pull_id = 'P006' and day(historical_date) < 4 then 'DE' else 'US' end as geo, pull_id = 'P006' and day(historical_date) = 9 as other from drift),
+    ends as (select series_id, pull_id from spec group by all having min(historical_date) <> (select first_day from bounds) or max(historical_date) <> (select last_day from bounds)),
+    declared as (select distinct chunk_id, window_start, window_end from spec),
+    bad as (select distinct chunk_id, 'unknown' as kind from declared where chunk_id not in (select chunk_id from windows) union all select d.chunk_id, 'moved' from declared d join windows w using (chunk_id) where d.window_start <> w.window_start or d.window_end <> w.window_end),
+    missing as (select 1 from (select distinct series_id, pull_id from spec) p cross join windows w where not exists (select 1 from spec x where x.series_id = p.series_id and x.pull_id = p.pull_id and x.chunk_id = w.chunk_id)),
+    more as (select * from (select distinct series_id, pull_id, collection_day, stream_id, replicate_id from spec) qualify count(*) over (partition by series_id, pull_id) > 1),
+    found as (select 'historical_window_drift' as code, (select count(*) from ends) as rows union all select 'chunk_definition_drift', (select count(*) from bad) union all select 'missing_chunks', (select count(*) from missing)
+      union all select 'query_spec_drift_geo', (select count(*) from spec where geo <> 'US') union all select 'protocol_hash_mismatch', (select count(*) from spec where other) union all select 'ambiguous_pull_metadata', (select count(*) from more))
+    select 'error' as severity, code, rows from found where rows > 0""", ("raw", "windows", "bounds"))
+def _(spark, d):
+    protocol = _schedule_protocol(spark, d)
+    rows = _drift(spark, d)
+    day = F.dayofmonth("historical_date")
+    rows = rows.withColumn("geo", F.when((F.col("pull_id") == "P006") & (day < 4), "DE").otherwise("US")).withColumn("keyword", F.lit("quantity"))
+    rows = rows.withColumn("protocol_hash", F.when((F.col("pull_id") == "P006") & (day == 9), "another").otherwise(protocol.protocol_hash()))
+    return V.audit_raw_batch(spark, rows, protocol).issues
+
+
 @_query(
     "audit_summary",
     "i:n_rows i:n_pulls i:n_chunks i:n_dates d:zero_share s:collection_days s:streams s:replicates",
@@ -174,7 +219,23 @@ def _(spark, d):
     return _median_edges(spark, d)
 
 
-@_query("overlap_edges_huber", EDGE + " d:log_ratio d:variance d:robust_scale i:n_overlap i:n_usable d:mean_abs_residual")
+#: Huber location of the values ``x`` of every group ``g`` of a table ``vals``: median, scale, reweighting, variance.
+_HUBER = """centred as (select *, median(x) over (partition by g) as m from vals),
+  start as (select g, any_value(m) as here, case when 1.4826 * median(abs(x - m)) > 1e-12 then 1.4826 * median(abs(x - m)) when stddev_samp(x) > 1e-12 then stddev_samp(x) else 0 end as spread from centred group by g),
+  walk(g, here, spread, r, done) as (select g, here, spread, 0, spread = 0 from start
+    union all select g, new, spread, r + 1, abs(new - here) <= 1e-8 * greatest(1, abs(here)) from
+    (select g, here, spread, r, sum(w * x) / sum(w) as new from (select walk.*, v.x, least(1, 1.345 / greatest(abs(v.x - walk.here) / walk.spread, 1e-12)) as w from walk join vals v using (g) where not walk.done and walk.r < 100) group by all)),
+  landed as (select g, arg_max(here, r) as here, any_value(spread) as spread from walk group by g),
+  away as (select v.g, v.x, l.here, l.spread, greatest(1.4826 * median(abs(v.x - l.here)) over (partition by v.g), 1e-12) as scale from vals v join landed l using (g)),
+  weighed as (select *, least(1, 1.345 / greatest(abs(x - here) / scale, 1e-12)) as w from away),
+  huber as (select g, any_value(here) as location, any_value(case when spread = 0 then 0 else scale end) as scale, avg(abs(x - here)) as mean_away, count(*) as n,
+    case when count(*) = 1 then null when any_value(spread) = 0 then 1e-12 else any_value(scale) ** 2 / greatest(sum(w) ** 2 / sum(w * w), 1) end as variance from weighed group by g)"""
+
+
+@_query("overlap_edges_huber", EDGE + " d:log_ratio d:variance d:robust_scale i:n_overlap i:n_usable d:mean_abs_residual",
+    f"""with recursive vals as (select pull_id || chunk_i || chunk_j as g, d as x from pairs where d is not null), {_HUBER},
+    sizes as (select pull_id, chunk_i, chunk_j, pull_id || chunk_i || chunk_j as g, count(*) as n_overlap, count(d) as n_usable from pairs group by all having count(d) >= 14)
+    select pull_id, chunk_i, chunk_j, location as log_ratio, greatest(variance, 1e-6) as variance, scale as robust_scale, n_overlap, n_usable, mean_away as mean_abs_residual from sizes join huber using (g)""", ("pairs",))
 def _(spark, d):
     return O.edges(T.raw(spark, d))
 
@@ -238,7 +299,10 @@ def _(spark, d):
     return O.daily_series(_observations(spark, d)[1], O.Calibration(aggregation="median"))
 
 
-@_query("daily_huber", PULL_DATE + " d:value i:n_contributing_chunks")
+@_query("daily_huber", PULL_DATE + " d:value i:n_contributing_chunks",
+    f"""with recursive {_SCALED_OBS}, vals as (select pull_id || historical_date::varchar as g, cv as x from obs where cv is not null), {_HUBER},
+    daily as (select pull_id, historical_date, pull_id || historical_date::varchar as g, count(cv) as n_contributing_chunks from obs group by all)
+    select pull_id, historical_date, location as value, n_contributing_chunks from daily join huber using (g)""", ("raw", "stitch"))
 def _(spark, d):
     return O.daily_series(_observations(spark, d)[1], O.Calibration(aggregation="huber"))
 
@@ -300,7 +364,10 @@ def _(spark, d):
     return P.exact_groups(_with_copy(spark, d))
 
 
-@_query("collapse_exact", PULL_DATE + " d:value i:multiplicity", "select pull_id, historical_date, value, case when pull_id = 'P001' then 2 else 1 end as multiplicity from panel", ("panel",))
+_EXACT = f"{_COPY}, v as (select pull_id, string_agg(round(value, 10)::varchar, ',' order by historical_date) as v from copied group by pull_id), same as (select pull_id, min(pull_id) over (partition by v) as representative, count(*) over (partition by v) as multiplicity from v)"
+
+
+@_query("collapse_exact", PULL_DATE + " d:value i:multiplicity", f"with {_EXACT} select pull_id, historical_date, value, multiplicity from copied join same using (pull_id) where pull_id = representative", ("panel",))
 def _(spark, d):
     return P.collapse_exact(_with_copy(spark, d))
 
@@ -327,7 +394,13 @@ def _(spark, d):
     return P.duplicate_pairs(_with_copy(spark, d))
 
 
-@_query("duplicate_components", "s:pull_id i:size d:share i:degree", f"with {_COPY} select distinct pull_id, case when pull_id in ('P001', 'P010') then 2 else 1 end as size, case when pull_id in ('P001', 'P010') then 2 else 1 end / 10.0 as share, case when pull_id in ('P001', 'P010') then 1 else 0 end as degree from copied", ("panel",))
+_RULES = """, rules as (select *, n_common >= 30 and coalesce(pearson >= 0.995, false) and (exact_agreement >= 0.9 or mae_100 <= 0.02) and positive_jaccard >= 0.9 as raw_rule, coalesce(residual_pearson >= 0.95, false) as residual_rule, exact_agreement = 1 as exact_vector from metrics)"""
+_PARTS = f"""with recursive {_PAIR_SQL.lstrip()[5:]}{_RULES}, links as (select pull_a as a, pull_b as b from rules where exact_vector or (raw_rule and residual_rule)), both_ways as (select a, b from links union all select b, a from links),
+  reach(a, b) as (select distinct pull_id, pull_id from copied union select reach.a, both_ways.b from reach join both_ways on both_ways.a = reach.b), root as (select a as pull_id, min(b) as root from reach group by a),
+  parts as (select pull_id, count(*) over (partition by root) as size, count(*) over (partition by root) / count(*) over () as share, (select count(*) from both_ways where both_ways.a = root.pull_id) as degree, root from root)"""
+
+
+@_query("duplicate_components", "s:pull_id i:size d:share i:degree", _PARTS + " select * from parts", ("panel",))
 def _(spark, d):
     rows = _with_copy(spark, d)
     return X.duplicate_components(P.duplicate_pairs(rows), rows)
@@ -421,6 +494,14 @@ def _(spark, d):
     return P.design_weighted(T.panel(spark, d))
 
 
+@_query("design_weighted_by_given_weights", "t:historical_date d:value d:between_cell_sd i:n_design_cells_available b:complete_cell_coverage",
+    """with c as (select historical_date, collection_day, stream_id, avg(value) as m from scaled group by all)
+  select historical_date, sum(m * (1 + collection_day)) / sum(1 + collection_day) as value, stddev_samp(m) as between_cell_sd, count(m) as n_design_cells_available, true as complete_cell_coverage from c group by all""", ("scaled",))
+def _(spark, d):
+    weights = T.pulls(spark).select(F.concat_ws("|", F.col("collection_day").cast("string"), "stream_id").alias("design_cell"), (1.0 + F.col("collection_day")).alias("target_weight"))
+    return P.design_weighted(T.panel(spark, d), weights=weights)
+
+
 @_query("candidate_bias", "s:pull_id d:candidate_bias", "select pull_id, avg(v) as candidate_bias from (select pull_id, value - median(value) over (partition by historical_date) as v from scaled) group by all", ("scaled",))
 def _(spark, d):
     return P.candidate_bias(P.baseline_scaled(T.panel(spark, d)))
@@ -772,7 +853,7 @@ def _(spark, d):
     return X.chain_error(_weighted_edges(spark, d))
 
 
-@_query("duplicate_summary", "i:n_pairs i:n_exact_pairs i:n_components d:max_component_share i:max_component_size", "select 45 as n_pairs, 1 as n_exact_pairs, 9 as n_components, 0.2::double as max_component_share, 2 as max_component_size")
+@_query("duplicate_summary", "i:n_pairs i:n_exact_pairs i:n_components d:max_component_share i:max_component_size", _PARTS + " select (select count(*) from rules) as n_pairs, (select count(*) from rules where exact_vector) as n_exact_pairs, count(distinct root) as n_components, max(share) as max_component_share, max(size) as max_component_size from parts", ("panel",))
 def _(spark, d):
     rows = _with_copy(spark, d)
     pairs = P.duplicate_pairs(rows)
@@ -781,4 +862,4 @@ def _(spark, d):
 
 @_query("design_resistance", "i:n_chunks d:graph_resistance d:path_resistance d:reduction")
 def _(spark, d):
-    return spark.createDataFrame([X.design_resistance(T.windows(spark).orderBy("chunk_id").toPandas())])  # one row per window
+    return spark.createDataFrame([X.design_resistance(T.windows(spark, d).orderBy("chunk_id").toPandas())])  # one row per window

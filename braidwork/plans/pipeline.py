@@ -79,7 +79,7 @@ def fit(spark: SparkSession, raw: DataFrame, protocol: Protocol, benchmark: Data
         raise AuditError("; ".join(f"{r['code']} ({r['rows']})" for r in found))
     data, q = V.coerce_raw_chunks(raw), protocol.query
     calibration = O.calibrate(data, q.baseline_start, q.baseline_end, protocol.calibration_settings())
-    design = checkpointed(data.groupBy("series_id", "pull_id").agg(*[F.min(c).alias(c) for c in ("collection_day", "stream_id", "replicate_id")]))
+    design = checkpointed(data.groupBy("series_id", "pull_id").agg(F.min(F.struct("collection_day", "stream_id", "replicate_id")).alias("row")).select("series_id", "pull_id", "row.*"))
     panel = calibration.series.join(design, ["series_id", "pull_id"])
     panel = checkpointed(panel)
     values = panel.select(*P.KEY, "value", "calibration_se")
@@ -94,7 +94,8 @@ def fit(spark: SparkSession, raw: DataFrame, protocol: Protocol, benchmark: Data
     studies = {k: checkpointed(G.variance_components(G.anova(G.transformed(panel, k)), g.clip_negative_components)) for k in g.transformations}
     reliability = P.reliability_pairs(values)
     without = checkpointed(C.leave_one_out(values, design, settings))
-    days, streams, reps = (design.groupBy("series_id").agg(F.count_distinct(c).alias("n")).first()["n"] for c in ("collection_day", "stream_id", "replicate_id"))
+    sizes = design.groupBy("series_id").agg(*[F.count_distinct(c).alias(n) for n, c in (("n_days", "collection_day"), ("n_streams", "stream_id"), ("n_replicates", "replicate_id"))])
+    grids = [sorted(g) for g in sizes.agg(*[F.collect_set(n) for n in ("n_days", "n_streams", "n_replicates")]).first()]  # as many as differ between series
     benchmarked = fitted = None
     if benchmark is not None and protocol.benchmark.enabled:
         b = protocol.benchmark_settings()
@@ -105,7 +106,8 @@ def fit(spark: SparkSession, raw: DataFrame, protocol: Protocol, benchmark: Data
     metrics = metrics.join(data.groupBy("series_id").agg(F.avg(F.coalesce((F.col("value") == 0).cast("double"), F.lit(0.0))).alias("zero_share")), "series_id")
     for kind in ("level", "innovation"):
         if kind in studies:
-            one = G.d_study(studies[kind], [days], [streams], [reps]).select("series_id", F.col("generalizability_coefficient").alias(f"{kind}_g"))
+            one = G.d_study(studies[kind], *grids).join(sizes, ["series_id", "n_days", "n_streams", "n_replicates"], "left_semi")
+            one = one.select("series_id", F.col("generalizability_coefficient").alias(f"{kind}_g"))
             metrics = metrics.join(one, "series_id", "left")
         else:
             metrics = metrics.withColumn(f"{kind}_g", F.lit(None).cast("double"))

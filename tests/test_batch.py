@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from braidwork import cli
 from braidwork.operators import overlap as O
@@ -53,6 +54,15 @@ def test_schedule_is_balanced_and_unique(spark):
     assert rows["chunk_order_json"].nunique() > 1
 
 
+def test_schedule_late_in_the_day_goes_on_after_midnight(spark):
+    late = protocol(design={"day_offsets": [0, 1], "streams": ["A", "B"], "technical_replicates": 3, "time_slots": ["23:58"]})
+    rows = collection_schedule(spark, late, ["C0001"], "2024-09-30").toPandas()
+    assert len(rows) == 12 and set(rows["replicate_id"]) == {"1", "2", "3"}
+    begins = pd.to_datetime(rows["planned_start_time"])
+    behind = (begins - pd.to_datetime(rows["planned_collection_date"] + " 23:58")).dt.total_seconds()
+    assert behind.between(0, 240).all() and behind.max() > 120
+
+
 def test_end_to_end_recovers_the_truth(spark, batch, tmp_path):
     result = pipeline.fit(spark, batch.raw, protocol(), batch.benchmark)
     final = result.final_series.select("historical_date", "value").join(batch.truth.select("historical_date", F.col("value").alias("truth")), "historical_date").toPandas()
@@ -97,8 +107,6 @@ def test_protocol_bundle_and_command_line(spark, batch, tmp_path, capsys):
     assert cli.main(["simulate", "--config", config, "--out", f"{tmp_path}/sim"], spark) == 0
     write_table(batch.truth, f"{tmp_path}/truth.parquet")
     assert cli.main(["export-stata", f"{tmp_path}/truth.parquet", f"{tmp_path}/truth.dta"], spark) == 0
-    import pandas as pd
-
     assert len(pd.read_stata(f"{tmp_path}/truth.dta")) == 244
 
 

@@ -302,3 +302,14 @@ def test_published_edge_layouts_have_the_closed_form_path():
     w = pd.DataFrame({"window_start": [DAY0 + dt.timedelta(30 * k) for k in range(6)], "window_end": [DAY0 + dt.timedelta(30 * k + 89) for k in range(6)]})
     found = X.design_resistance(w)
     assert found["path_resistance"] == pytest.approx(3 / 60) and found["graph_resistance"] < found["path_resistance"]
+
+
+def test_cell_weights_must_match_the_cells(spark):
+    rows = [("S", p, d, v, day, s, "1") for d in days(2) for p, v, day, s in (("A1", 80.0, 0, "A"), ("A2", 120.0, 0, "A"), ("B1", 100.0, 1, "A"))]
+    panel = spark.createDataFrame(rows, "series_id string, pull_id string, historical_date date, value double, collection_day int, stream_id string, replicate_id string")
+    weights = lambda *w: spark.createDataFrame(w, "design_cell string, target_weight double")
+    got = P.design_weighted(panel, weights=weights(("0|A", 1.0), ("1|A", 3.0))).collect()
+    assert [r["value"] for r in got] == pytest.approx([100.0, 100.0]) and all(r["complete_cell_coverage"] for r in got)
+    for bad in ([("0|A", 1.0)], [("0|A", 1.0), ("1|A", 3.0), ("9|A", 1.0)], [("0|A", -1.0), ("1|A", 3.0)], [("0|A", 0.0), ("1|A", 0.0)], [("0|A", 1.0), ("0|A", 1.0), ("1|A", 3.0)], [("0|A", None), ("1|A", 3.0)], [("0|A", float("inf")), ("1|A", 3.0)]):
+        with pytest.raises(Exception, match="weights must match"):
+            P.design_weighted(panel, weights=weights(*bad)).collect()
