@@ -27,6 +27,8 @@ WORDS_PER_HIT = 100
 #: Bounds of the training sample: rows of each class, and the longest text taken for training.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3500, 6000
 SPACE = 0x20
+#: A round of training ends when the mean log loss, of both classes alike, is less.
+ENOUGH = 0.004
 
 
 def is_held_out(doc_id: str | Column) -> Column:
@@ -144,8 +146,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def _softmax_fit(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray, state: dict, epochs: int) -> None:
-    """Train embeddings and softmax together by full-batch Adam; ``state`` holds them between calls."""
+def _softmax_fit(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray, state: dict, epochs: int, prior: np.ndarray) -> None:
+    """Train embeddings and softmax together by full-batch Adam; ``state`` holds them between calls.
+
+    An embedding begins where the softmax's difference gives its n-gram's value in ``prior``.
+    """
     size = np.array([len(b) for b in bags])
     slots, at = np.unique(np.concatenate(bags), return_inverse=True)
     at, row = at.astype(np.int32), np.repeat(np.arange(len(bags), dtype=np.int32), size)
@@ -156,7 +161,8 @@ def _softmax_fit(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray,
         state["new"] = np.ones(1 << TABLE_BITS, bool)
         state["W"], state["b"] = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     fresh = slots[state["new"][slots]]
-    state["E"][fresh] = rng.normal(0, 0.1, (len(fresh), DIM))
+    apart = state["W"][:, 1] - state["W"][:, 0]
+    state["E"][fresh] = rng.normal(0, 0.1, (len(fresh), DIM)) + prior[fresh, None] * (apart / (apart @ apart))
     state["new"][fresh] = False
     E, W, b = state["E"][slots], state["W"], state["b"]
     target = np.eye(2, dtype=np.float32)[label]
@@ -166,6 +172,8 @@ def _softmax_fit(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray,
         z = mean @ W + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
+        if -float(weight @ np.log(np.maximum(p[np.arange(len(label)), label], 1e-12))) < ENOUGH:
+            break
         d = (p - target) * weight[:, None]
         back = (d @ W.T) / size[:, None]
         grads = (np.stack([np.bincount(at, back[:, k][row], len(slots)) for k in range(DIM)], 1) + 1e-7 * E, mean.T @ d + 1e-5 * W, d.sum(0))
@@ -176,7 +184,7 @@ def _softmax_fit(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray,
     state["E"][slots], state["W"], state["b"] = E, W, b
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 3, epochs: int = 80) -> Model:
+def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 3, epochs: int = 120) -> Model:
     """Fit on labelled texts. ``prior`` is the share of toxic rows among all that may teach.
 
     Rounds alternate between choosing the windows that stand for each text, the strongest of a toxic
@@ -196,6 +204,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 3, epo
     n = np.bincount(labels[teach], minlength=2)
     table = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     table[seen.sum(0) < 3] = 0
+    prior_table = table
     state: dict = {}
     rng = np.random.default_rng(11)
     for _ in range(rounds):
@@ -213,7 +222,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 3, epo
                     label.append(labels[i])
         label = np.array(label)
         share = np.bincount(label, minlength=2)
-        _softmax_fit(bags, label, (0.5 / share[label]).astype(np.float32), state, epochs)
+        _softmax_fit(bags, label, (0.5 / share[label]).astype(np.float32), state, epochs, prior_table)
         table = state["E"] @ (state["W"][:, 1] - state["W"][:, 0])
     model = Model(table.astype(np.float32), float(state["b"][1] - state["b"][0]), 1.0, 0.0)
     check = np.flatnonzero(kept_out)
@@ -235,18 +244,19 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 3, epo
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labelled rows that are not held out.
 
-    At most ``MOST_TOXIC`` and ``MOST_CLEAN`` rows, the first by a hash of the id, of texts of at most
-    ``MOST_CHARS`` characters. Rows with a null id or label teach nothing. Without rows of both classes
+    At most ``MOST_TOXIC`` and ``MOST_CLEAN`` rows, the first by a hash of the id, of those whose texts
+    have at most ``MOST_CHARS`` characters. Rows with a null id or label teach nothing. Without rows of both classes
     the model scores every text by the one class's share, or 0 without any row.
     """
     usable = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out("id"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("id")
+    short = docs.where(F.length(text_or_empty("text")) <= MOST_CHARS)
+    usable = usable.join(short.select(F.col("doc_id").alias("id")), "id", "left_semi")
     picked = [usable.where(F.col("y") == y).orderBy(order, "id").limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = picked[0].union(picked[1])  # bounded by the two parameters, so it may be broadcast
     rows = (
-        docs.select(F.col("doc_id").alias("id"), text_or_empty("text").alias("text"))
-        .where(F.length("text") <= MOST_CHARS)
+        short.select(F.col("doc_id").alias("id"), text_or_empty("text").alias("text"))
         .join(F.broadcast(chosen), "id")
         .select("id", "y", "text")
         .toPandas()
