@@ -22,12 +22,45 @@ PER_CELL, BLOCK = 4_000, 2_048
 MARGIN = 0.12
 
 
+def nearest(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre of largest product for each vector, the first of equal ones; 1,024 by 1,024 products at a time."""
+    best, own = np.full(len(unit), -np.inf), np.zeros(len(unit), np.int64)
+    for at in range(0, len(unit), 1024):
+        for k in range(0, len(centres), 1024):
+            near = unit[at : at + 1024] @ centres[k : k + 1024].T
+            top = near.argmax(1)
+            value = near[np.arange(len(near)), top]
+            better = value > best[at : at + 1024]
+            best[at : at + 1024][better] = value[better]
+            own[at : at + 1024][better] = top[better] + k
+    return own
+
+
+def visits(unit: np.ndarray, centres: np.ndarray, home: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and the cells that they are in: their own one, and others nearly as close along the line between the centres."""
+    rows, cells = [], []
+    for at in range(0, len(unit), 1024):
+        part, own = unit[at : at + 1024], home[at : at + 1024]
+        here = (part * centres[own]).sum(1)[:, None]
+        for k in range(0, len(centres), 1024):
+            there = centres[k : k + 1024]
+            width = np.sqrt(np.maximum(2 - 2 * (centres[own] @ there.T), 0))
+            found = here - part @ there.T <= margin * width
+            found |= own[:, None] == np.arange(k, k + len(there))
+            row, cell = np.nonzero(found)
+            rows.append(row + at)
+            cells.append(cell + k)
+    rows, cells = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cells))
+    order = np.lexsort((cells, rows))
+    return rows[order], cells[order]
+
+
 def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """Unit centres of unit vectors: cosine assignment, mean, renormalised; empty cells keep their centre."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(rounds):
-        own = (sample @ centres.T).argmax(1)
+        own = nearest(sample, centres)
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -56,7 +89,6 @@ def _assign(nodes: DataFrame, centres: np.ndarray, margin: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle = shared.value
         dim = middle.shape[1]
-        apart = np.sqrt(np.maximum(2 - 2 * middle @ middle.T, 0)) if len(middle) <= 2048 else None
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -65,16 +97,12 @@ def _assign(nodes: DataFrame, centres: np.ndarray, margin: float) -> DataFrame:
                 fits = np.array([len(v) == dim for v in vectors], bool)
                 if fits.any():
                     unit[fits] = _unit(np.array([v for v, f in zip(vectors, fits) if f], np.float64))
-                near = unit @ middle.T
-                home = near.argmax(1)
-                gap = near[np.arange(len(near)), home][:, None] - near
-                width = apart[home] if apart is not None else np.sqrt(np.maximum(2 - 2 * middle[home] @ middle.T, 0))
-                visits = gap <= margin * width
-                visits[np.arange(len(near)), home] = True
-                visits[~fits] = False
-                visits[~fits, 0] = True  # vectors of other lengths meet in the first cell
-                row, cell = np.nonzero(visits)
-                lists = np.split(cell, np.searchsorted(row, np.arange(1, len(near))))
+                home = nearest(unit, middle)
+                home[~fits] = 0  # vectors of other lengths meet in the first cell
+                row, cell = visits(unit, middle, home, margin)
+                some = fits[row] | (cell == 0)
+                row, cell = row[some], cell[some]
+                lists = np.split(cell, np.searchsorted(row, np.arange(1, len(unit))))
                 raw = [np.asarray(v, np.float64).tobytes() for v in vectors]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -121,7 +149,9 @@ def _products(threshold: float):
             within = first == int(part["second"].iloc[0])
             total = np.zeros(len(part), np.int64)
             pairs_a, pairs_b = [], []
-            homes, lists = part["home"].to_numpy(), part["cells"].to_numpy()
+            homes, lists = part["home"].to_numpy(np.int64), part["cells"].to_numpy()
+            most = 1 + max(int(homes.max()), max(int(c[-1]) for c in lists))
+            visited = np.repeat(np.arange(len(part)) * most, [len(c) for c in lists]) + np.concatenate(lists)
             for at in range(0, len(x), 512):
                 xs = x[at : at + 512]
                 i, j = np.nonzero(unit[xs] @ unit[y].T >= threshold)
@@ -136,11 +166,9 @@ def _products(threshold: float):
                 # and to this cell for a visitor whose home cell the other does not visit.
                 mine = own[i].copy()
                 other = own[j].copy()
-                for k in np.flatnonzero(~own[i] | ~own[j]):
-                    if not mine[k]:
-                        mine[k] = homes[i[k]] not in lists[j[k]]
-                    if not other[k]:
-                        other[k] = homes[j[k]] not in lists[i[k]]
+                for side, a, b in ((mine, i, j), (other, j, i)):
+                    away = np.flatnonzero(~side)
+                    side[away] = ~np.isin(b[away] * most + homes[a[away]], visited)
                 np.add.at(total, i[mine], copies[j[mine]])
                 np.add.at(total, j[other], copies[i[other]])
                 used = _forest(i, j, len(part))
