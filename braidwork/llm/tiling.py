@@ -48,12 +48,45 @@ class _Rolling:
         return (self.sums[length:] - self.sums[:n]) * self.back[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
+def _starts(text: np.ndarray, item: np.ndarray, free_t: np.ndarray, free_i: np.ndarray, hashes_t: np.ndarray, hashes_i: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest matches of unmarked words of at least ``length``: places in text and item, and lengths."""
+    none = np.zeros(0, np.int64)
+    sums = [np.concatenate(([0], np.cumsum(free))) for free in (free_t, free_i)]
+    at_t, at_i = (np.flatnonzero(c[length:] - c[:-length] == length) for c in sums)
+    if not len(at_i) or not len(at_t):
+        return none, none, none
+    order = np.argsort(hashes_i[at_i], kind="stable")
+    at_i, known = at_i[order], hashes_i[at_i][order]
+    found_t, found_i = [none], [none]
+    for a in range(0, len(at_t), 1 << 18):  # some places at a time: in a text of few words many windows are equal
+        t = at_t[a : a + (1 << 18)]
+        lo, hi = (np.searchsorted(known, hashes_t[t], side=s) for s in ("left", "right"))
+        n = hi - lo
+        t = np.repeat(t, n)
+        i = at_i[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(t))]
+        first = (t == 0) | (i == 0)
+        first |= (text[t - 1] != item[i - 1]) | ~free_t[t - 1] | ~free_i[i - 1]
+        found_t.append(t[first])
+        found_i.append(i[first])
+    t, i = np.concatenate(found_t), np.concatenate(found_i)
+    size, active = np.zeros(len(t), np.int64), np.arange(len(t))
+    while len(active):
+        p, q = t[active] + size[active], i[active] + size[active]
+        on = (p < len(text)) & (q < len(item))
+        active, p, q = active[on], p[on], q[on]
+        active = active[(text[p] == item[q]) & free_t[p] & free_i[q]]
+        size[active] += 1
+    real = size >= length
+    return t[real], i[real], size[real]
+
+
 def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (place in text, place in item, length), longest first, no word in two tiles.
 
     Each round finds the matches of unmarked words of at least the search length by their window
     hashes, extends them, and marks them from the longest on. The search length starts at the item's
-    length and halves down to ``least``; if a match is over twice as long, the round starts again there.
+    length and halves down to ``least``; if a match is over twice as long, the round starts again there,
+    and if a match met words marked in the same round, the round is repeated.
     """
     least = max(1, min(least, len(item)))
     roll_t, roll_i = _Rolling(text), _Rolling(item)
@@ -61,39 +94,26 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
     found: list[tuple[int, int, int]] = []
     length = max(least, len(item))
     while True:
-        matches, longest = [], 0
-        if length <= len(text):
-            open_t = np.convolve(free_t, np.ones(length, np.int64), "valid") == length if length < 64 else np.lib.stride_tricks.sliding_window_view(free_t, length).all(1)
-            open_i = np.convolve(free_i, np.ones(length, np.int64), "valid") == length
-            at_i = np.flatnonzero(open_i)
-            by_hash: dict[int, list[int]] = {}
-            for i, h in zip(at_i.tolist(), roll_i.windows(length)[at_i].tolist()):
-                by_hash.setdefault(h, []).append(i)
-            at_t = np.flatnonzero(open_t)
-            hashes = roll_t.windows(length)[at_t]
-            known = np.isin(hashes, np.fromiter(by_hash, np.uint64, len(by_hash)))
-            for t, h in zip(at_t[known].tolist(), hashes[known].tolist()):
-                for i in by_hash[h]:
-                    n = 0
-                    while t + n < len(text) and i + n < len(item) and text[t + n] == item[i + n] and free_t[t + n] and free_i[i + n]:
-                        n += 1
-                    if n >= length:
-                        longest = max(longest, n)
-                        matches.append((-n, i, t))
-        if longest > 2 * length:
-            length = longest
+        t, i, n = _starts(text, item, free_t, free_i, roll_t.windows(length), roll_i.windows(length), length)
+        if len(n) and n.max() > 2 * length:
+            length = int(n.max())
             continue
-        matches.sort()
-        for n, i, t in matches:
-            if free_t[t : t - n].all() and free_i[i : i - n].all():
-                free_t[t : t - n] = free_i[i : i - n] = False
-                found.append((t, i, -n))
-        if length > 2 * least:
-            length //= 2
-        elif length > least:
-            length = least
-        else:
+        order, met, left = np.lexsort((t, i, -n)), False, int(free_i.sum())
+        for k in order.tolist():
+            if left < length:
+                break
+            a, b, m = int(t[k]), int(i[k]), int(n[k])
+            if free_t[a : a + m].all() and free_i[b : b + m].all():
+                free_t[a : a + m] = free_i[b : b + m] = False
+                found.append((a, b, m))
+                left -= m
+            else:
+                met = True
+        if met and left >= length:
+            continue
+        if left < least or length == least:
             return found
+        length = max(least, length // 2) if length > 2 * least else least
 
 
 class _Items:
@@ -154,27 +174,35 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col:
     are separate items. Items go to the tasks in slices of at most ``MOST_WORDS`` words, one pass over
     the texts for each, so the benchmark's size is bounded nowhere. An existing ``out_col`` is replaced.
     """
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), text_or_empty("text")).orderBy("item_id", "text").toLocalIterator()]
-    slices, size = [[]], 0
-    for item in items:
-        n = len(item[1]) // 2 + 1
-        if slices[-1] and size + n > MOST_WORDS:
-            slices.append([])
-            size = 0
-        slices[-1].append(item)
-        size += n
+    items = benchmark.select(F.col("item_id").cast("long"), text_or_empty("text")).orderBy("item_id", "text")
     columns = [c for c in docs.columns if c != out_col]
     rows = docs.select(*columns).withColumn(out_col, F.array().cast(MATCHES))
-    for part in slices:
+    for part in _slices(items):
         rows = _pass(rows, part, text_col, out_col, seed, tile, coverage)
     return rows
 
 
+def _slices(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Items in lists of at most ``MOST_WORDS`` words, one list after the other: the driver holds one."""
+    part, size = [], 0
+    for i, text in items.toLocalIterator():
+        n = len(text) // 2 + 1
+        if part and size + n > MOST_WORDS:
+            yield part
+            part, size = [], 0
+        part.append((i, text))
+        size += n
+    if part:
+        yield part
+
+
 def _pass(rows: DataFrame, part: list[tuple[int, str]], text_col: str, out_col: str, seed: int, tile: int, coverage: float) -> DataFrame:
     names = rows.columns
     at, to = names.index(text_col), names.index(out_col)
+    shared = rows.sparkSession.sparkContext.broadcast(part)  # at most MOST_WORDS words
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(part, min(seed, tile))
+        items = _Items(shared.value, min(seed, tile))
         get = items.number.get
         for batch in slices(batches):
             numbered = [np.fromiter(map(get, words(t), repeat(0)), np.int64) for t in batch.column(at).fill_null("").to_pylist()]

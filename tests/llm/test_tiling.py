@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from braidwork.llm import tiling as T
@@ -76,3 +77,34 @@ def test_items_in_parts_of_three_and_four_words_are_caught(spark):
     table = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "item_id long, text string")
     got = T.find(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()
     assert {(r["doc_id"], m["item_id"], m["coverage"]) for r in got for m in r["matches"]} == {(1, 0, 1.0), (2, 1, 1.0)}
+
+
+def test_query_matches_brute_force_on_random_reorderings(spark):
+    rng = random.Random(9)
+    items = [sentence(rng, rng.randint(1, 30)) for _ in range(25)]
+    rows = []
+    for i in range(160):
+        words = sentence(rng, rng.randint(0, 12))
+        for _ in range(rng.randint(0, 2)):
+            item, parts = rng.choice(items), []
+            while item:
+                n = rng.randint(2, 6)
+                parts.append(item[:n])
+                item = item[n:]
+            rng.shuffle(parts)
+            if rng.random() < 0.4:
+                parts.pop()
+            words += [w for p in parts for w in [*p, *sentence(rng, rng.randint(0, 2))]]
+        rows.append((i, " ".join(words)))
+    bench = [(k, " ".join(w)) for k, w in enumerate(items)]
+    found = T.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r["doc_id"], m["item_id"]): m["tiled_words"] for r in found for m in r["matches"]}
+    want = {(i, k): n for i, t in rows for k, w in enumerate(items) if (n := brute(t.split(), w, min(3, len(w)))) >= 0.8 * len(w)}
+    assert got == want and len(want) > 40
+
+
+def test_words_over_and_over_take_little_time():
+    text, item = np.tile([1, 2, 3], 100_000), np.tile([1, 2, 3], 22)[:65]
+    began = time.perf_counter()
+    found = T.tiles(text, item, 3)
+    assert sum(n for _, _, n in found) == 65 and time.perf_counter() - began < 20
