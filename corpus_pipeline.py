@@ -56,11 +56,20 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written as Parquet and read by the next.
 
-    The tables go to a new folder in the cluster's shared checkpoint folder.
+    The tables go to a new folder in the cluster's shared checkpoint folder. Each is removed when the
+    next one is written; the last, which the result reads, stays.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        to = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(to)
+        if before:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(to), to
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
