@@ -94,9 +94,15 @@ def unpack(blobs: Iterable[bytes], unique: bool = False) -> tuple[np.ndarray, li
 
 
 def freeze(columns: Sequence[np.ndarray]) -> bytes:
-    """Columns of one length as compressed bytes by place; the second, most often sorted, as its steps."""
+    """Columns of one length as compressed bytes by place; the second, most often sorted, as its steps.
+
+    A column of objects has strings of bytes.
+    """
     parts = [np.array([len(columns[0])], np.int64).tobytes()]
     for k, c in enumerate(columns):
+        if c.dtype == object:
+            parts += [np.array([len(x) for x in c], np.uint32).tobytes(), *c]
+            continue
         if k == 1:
             c = np.diff(c, prepend=np.zeros(1, c.dtype))
         parts.append(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes())
@@ -110,12 +116,26 @@ def thaw(blobs: Iterable[bytes], dtypes: Sequence[str]) -> list[np.ndarray]:
         raw = unsqueeze(blob)
         n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
         for k, t in enumerate(map(np.dtype, dtypes)):
+            if t == object:
+                ends = np.cumsum(np.frombuffer(raw, np.uint32, n, at), dtype=np.int64) + at + 4 * n
+                c = np.empty(n, object)
+                c[:] = [raw[a:b] for a, b in zip([at + 4 * n, *ends.tolist()], ends.tolist())]
+                found[k].append(c)
+                at = int(ends[-1]) if n else at
+                continue
             c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n).T).view(t).reshape(-1)
             found[k].append(np.cumsum(c, dtype=t) if k == 1 else c)
             at += n * t.itemsize
     return [np.concatenate(c) for c in found]
 
 
+def bucketed(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of hashes, by their first half, and 32 bits that tell those of a bucket apart; both ascend with the hashes."""
+    high = (hashes >> np.uint64(32)) * np.uint64(buckets)
+    rest = (high << np.uint64(32)) + (hashes & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)
+    return (high >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint32)
+
+
 #: Parts into which a task cuts what it sends, at most.
 FAN = 1024
 

@@ -2,7 +2,8 @@
 
 Strings that repeat share the anchor (the least hashed 16-gram) of each of their 50-byte windows. The
 texts are cut into runs of windows with one anchor; runs whose anchor occurs in two documents meet in
-buckets by anchor. There a k-ordered suffix array and its BWT are made of the distinct runs, intervals
+buckets by anchor; those of an anchor that very many runs have are cut again by the next least hashed
+16-gram of each window, and so spread. There a k-ordered suffix array and its BWT are made of the distinct runs, intervals
 of common prefixes are extended backward, one byte and one value of the common prefix at a time, up to
 the threshold, and each interval that is left is a set of equal windows; the least document of the set
 goes back to where each window came from.
@@ -12,13 +13,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, pack, squeeze, unpack, unsqueeze
+from .blocks import Route, block_count, bucketed, pack, unpack
 from .common import text_or_empty
 
 ANCHOR = 16
@@ -27,6 +29,8 @@ LONGEST_RUN = 64
 FROM = 16
 #: Bytes of distinct runs in one suffix array; runs of one anchor are never parted.
 INDEX_BYTES = 1 << 20
+#: Runs of one anchor in the table from which on they are cut again.
+CROWD = 4096
 
 
 def _words(data: np.ndarray, order: str) -> np.ndarray:
@@ -36,16 +40,28 @@ def _words(data: np.ndarray, order: str) -> np.ndarray:
     return np.ndarray((len(data),), f"{order}u8", wide.tobytes(), strides=(1,)).astype(np.uint64)
 
 
+def _gram_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of 16-grams, from the numbers of their halves."""
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(31))
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: start, number of windows, mixed anchor hash, text index."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none.astype(np.uint64), none
     h = _words(data, "<")
-    h = (h[: len(h) - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[8 : len(h) - ANCHOR + 9] * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = _gram_hash(h[: len(h) - ANCHOR + 1], h[8 : len(h) - ANCHOR + 9])
     width, span = length - ANCHOR + 1, 1
     while span * 2 <= width:
         h = np.minimum(h[:-span], h[span:])
@@ -68,11 +84,35 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, left = np.repeat(start, parts) + step * LONGEST_RUN, np.repeat(count, parts) - step * LONGEST_RUN
         count = np.minimum(left, LONGEST_RUN)
-    mixed = h[start] * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(31)
-    return start, count, mixed, np.searchsorted(offsets, start, side="right") - 1
+    return start, count, _mixed(h[start]), np.searchsorted(offsets, start, side="right") - 1
+
+
+def cut_again(data: np.ndarray, start: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut where the least hashed 16-gram of the windows but for their anchor changes: run, start, windows, that hash.
+
+    Equal windows have equal ones. Windows of one 16-gram over and over have none, and are all equal.
+    """
+    width, out = length - ANCHOR + 1, [[np.zeros(0, np.int64)] for _ in range(4)]
+    for a in range(0, len(start), 2048):  # some runs at a time: all of their windows' 16-grams are looked at
+        first, n = start[a : a + 2048], count[a : a + 2048]
+        run = np.repeat(np.arange(len(n)), n)
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(run))
+        need = n + width - 1  # 16-grams of a run
+        slot = np.cumsum(need) - need
+        place = np.repeat(first - slot, need) + np.arange(need.sum())
+        halves = data[place[:, None] + np.arange(ANCHOR)].view("<u8").astype(np.uint64)
+        h = _gram_hash(halves[:, 0], halves[:, 1])
+        inside = np.repeat(slot, n) + at - np.repeat(first, n)
+        near = h[inside[:, None] + np.arange(width)]
+        near[near == near.min(1, keepdims=True)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        second = near.min(1)
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (second[1:] != second[:-1])
+        head = np.flatnonzero(new)
+        for column, x in zip(out, (run[head] + a, at[head], np.diff(np.append(head, len(run))), second[head].view(np.int64))):
+            column.append(x)
+    run, at, n, second = (np.concatenate(x) for x in out)
+    return run, at, n, second.view(np.uint64)
 
 
 def suffix_order(data: np.ndarray, depth: int, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,103 +233,131 @@ class _Block:
         np.maximum.at(most, self.anchor, self.text)
         return least != most
 
-    def shared(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-        """Runs of marked anchors, by anchor: their indices, the number of each one's string, the strings."""
-        chosen = np.flatnonzero(marked[self.anchor])
-        chosen = chosen[np.argsort(self.anchor[chosen], kind="stable")]
+    def shared(self, marks: np.ndarray) -> "_Shared":
+        """The runs of anchors that are marked, those of anchors marked 2 cut again, by the hash they meet under."""
+        mark = marks[self.anchor]
+        chosen = np.flatnonzero(mark == 1)
+        start, count, key, text = self.start[chosen], self.count[chosen], self.hash[chosen], self.text[chosen]
+        if len(many := np.flatnonzero(mark > 1)):
+            run, at, n, second = cut_again(np.frombuffer(self.raw, np.uint8), self.start[many], self.count[many], self.length)
+            run = many[run]
+            key = np.concatenate((key, _mixed(self.hash[run] + second * np.uint64(0x9E3779B97F4A7C15))))
+            start, count, text = np.concatenate((start, at)), np.concatenate((count, n)), np.concatenate((text, self.text[run]))
+        order = np.argsort(key, kind="stable")
+        start, count, key, text = start[order], count[order], key[order], text[order]
         strings: dict[bytes, int] = {}
         raw, extra = self.raw, self.length - 1
-        which = [strings.setdefault(raw[a : a + n + extra], len(strings)) for a, n in zip(self.start[chosen].tolist(), self.count[chosen].tolist())]
-        return chosen, np.array(which, np.int64), strings
+        which = [strings.setdefault(raw[a : a + n + extra], len(strings)) for a, n in zip(start.tolist(), count.tolist())]
+        return _Shared(start, count, key, text, np.array(which, np.int64), list(strings))
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets in the order of the hashes."""
-    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+@dataclass
+class _Shared:
+    """Runs by key: starts, windows, keys, texts, the number of each one's string, and the distinct strings."""
 
+    start: np.ndarray
+    count: np.ndarray
+    key: np.ndarray
+    text: np.ndarray
+    which: np.ndarray
+    strings: list[bytes]
 
-def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
+
+#: What is told of an anchor: tag, block, runs there, whether two texts there have it. Answered: bucket and tag as one, the mark.
+_TOLD, _MARKS = ("u4", "u4", "u4", "u1"), ("u8", "u1")
+#: A distinct run: its number in the block, block, tag, least id, bytes. Answered: that number, the least id of each window.
+_SENT, _LEAST = ("u4", "u4", "u4", "i8", "O"), ("u4", "O")
+_PARTS = "to int, sender int, blob binary"
+
+
+def _rows(sent: list[tuple[int, bytes]], sender: int) -> pd.DataFrame:
+    return pd.DataFrame({"to": [t for t, _ in sent], "sender": sender, "blob": [b for _, b in sent]})
+
+
+def _objects(items: list[bytes]) -> np.ndarray:
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
 
 
 def _announce(buckets: int, length: int):
+    route = Route(buckets, _TOLD)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(rows["blob"], length)
-        several, cut, out = block.several(), _cuts(block.anchors, buckets), []
-        for k in range(buckets):
-            if (b := cut[k + 1]) > (a := cut[k]):
-                out.append((k, int(rows["block"].iloc[0]), block.anchors[a:b].astype(np.uint32).tobytes(), np.packbits(several[a:b]).tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "block", "tags", "bits"])
+        block, me = _Block(rows["blob"], length), int(rows["block"].iloc[0])
+        place, tag = bucketed(block.anchors, buckets)
+        return _rows(route.send(place, (tag, np.full(len(tag), me), np.bincount(block.anchor, minlength=len(tag)), block.several())), me)
 
     return run
 
 
-def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which anchors of one bucket occur in two documents, for each block that announced them."""
-    tags = [np.frombuffer(t, np.uint32) for t in rows["tags"]]
-    here = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(t)) for b, t in zip(rows["bits"], tags)]
-    _, at, times = np.unique(np.concatenate(tags), return_inverse=True, return_counts=True)
-    marked = (times >= 2) | (np.bincount(at, np.concatenate(here)) > 0)
-    bits = np.split(marked[at], np.cumsum([len(t) for t in tags])[:-1])
-    return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "bits": [np.packbits(b).tobytes() for b in bits]})
+def _repeated(buckets: int, crowd: int):
+    """Which anchors of one bucket occur in two texts, for each block that has them: 1, or 2 if very many runs have it."""
+    told, back = Route(buckets, _TOLD), Route(buckets, _MARKS)
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        place, tag, block, times, here = told.received(rows["blob"])
+        order = np.argsort(tag, kind="stable")
+        tag, block, times, here = tag[order], block[order], times[order], here[order]
+        head = np.flatnonzero(np.concatenate(([True], tag[1:] != tag[:-1])))
+        size = np.diff(np.append(head, len(tag)))
+        several = (size > 1) | (np.maximum.reduceat(here, head) > 0)
+        mark = np.where(np.add.reduceat(times.astype(np.int64), head) > crowd, 2, 1)
+        keep, mark = np.repeat(several, size), np.repeat(mark, size)
+        me = int(place[0])
+        code = (np.uint64(me) << np.uint64(32)) | tag[keep].astype(np.uint64)
+        order = np.lexsort((code, block[keep]))
+        return _rows(back.send(block[keep][order], (code[order], mark[keep][order])), me)
+
+    return run
 
-def _marks(block: _Block, answers: pd.DataFrame, buckets: int) -> np.ndarray:
-    cut, marked = _cuts(block.anchors, buckets), np.zeros(len(block.anchors), bool)
-    for k, bits in zip(answers["bucket"], answers["bits"]):
-        a, b = cut[k], cut[k + 1]
-        marked[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-    return marked
+
+def _marks(block: _Block, blobs, buckets: int) -> np.ndarray:
+    """The marks of a block's anchors; 0 for none."""
+    _, codes, how = Route(buckets, _MARKS).received(blobs)
+    order = np.argsort(codes)
+    codes, how = codes[order], how[order]
+    bucket, tag = bucketed(block.anchors, buckets)
+    mine = (bucket.astype(np.uint64) << np.uint64(32)) | tag
+    if not len(codes):
+        return np.zeros(len(mine), np.uint8)
+    slot = np.minimum(np.searchsorted(codes, mine), len(codes) - 1)
+    return np.where(codes[slot] == mine, how[slot], 0)
 
 
 def _ship(buckets: int, length: int):
-    """The distinct runs of a block under repeated anchors, by bucket, each with its least id."""
+    """The distinct runs of a block under repeated anchors, each with its least id."""
+    route = Route(buckets, _SENT)
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(docs):
-            block = _Block(docs["blob"], length)
-            chosen, which, strings = block.shared(_marks(block, answers, buckets))
-            texts = list(strings)
-            first = np.unique(which, return_index=True)[1]
-            low = np.full(len(texts), np.iinfo(np.int64).max)
-            np.minimum.at(low, which, block.ids[block.text[chosen]])
-            hashes = block.hash[chosen[first]]
-            cut = _cuts(hashes, buckets)
-            for k in range(buckets):
-                if (b := cut[k + 1]) > (a := cut[k]):
-                    size = np.array([len(t) for t in texts[a:b]], np.int64)
-                    head = np.concatenate(([b - a], size, low[a:b], hashes[a:b].astype(np.uint32).astype(np.int64)))
-                    out.append((k, int(docs["block"].iloc[0]), squeeze(head.tobytes() + b"".join(texts[a:b]))))
-        return pd.DataFrame(out, columns=["bucket", "block", "blob"])
+        if not len(docs):
+            return _rows([], 0)
+        block, me = _Block(docs["blob"], length), int(docs["block"].iloc[0])
+        shared = block.shared(_marks(block, answers["blob"], buckets))
+        first = np.unique(shared.which, return_index=True)[1]
+        low = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(low, shared.which, block.ids[shared.text])
+        place, tag = bucketed(shared.key[first], buckets)
+        n = np.arange(len(first))
+        return _rows(route.send(place, (n, np.full(len(n), me), tag, low, _objects(shared.strings))), me)
 
     return run
 
 
-def _resolve(length: int):
+def _resolve(buckets: int, length: int):
     """The least id of every window of the runs in a bucket, for each block that shipped them."""
+    sent, back = Route(buckets, _SENT), Route(buckets, _LEAST)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        place, seq, block, tag, low, text = sent.received(rows["blob"])
+        me = int(place[0])
         number: dict[bytes, int] = {}
-        low: list[int] = []
-        tag: list[int] = []
-        sent = []
-        for blob in rows["blob"]:
-            raw = unsqueeze(blob)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            head = np.frombuffer(raw, np.int64, 3 * n, 8)
-            ends = (8 + 24 * n + np.cumsum(head[:n])).tolist()
-            mine = []
-            for b, s, i, t in zip(ends, head[:n].tolist(), head[n : 2 * n].tolist(), head[2 * n :].tolist()):
-                k = number.setdefault(raw[b - s : b], len(low))
-                if k == len(low):
-                    low.append(i)
-                    tag.append(t)
-                elif i < low[k]:
-                    low[k] = i
-                mine.append(k)
-            sent.append(np.array(mine, np.int64))
-        strings, ids, tags = list(number), np.array(low, np.int64), np.array(tag, np.int64)
+        which = np.array([number.setdefault(t, len(number)) for t in text], np.int64)
+        strings = list(number)
+        ids = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(ids, which, low)
+        tags = np.zeros(len(strings), np.uint32)
+        tags[which] = tag
         size = np.array([len(s) for s in strings], np.int64)
         slot = np.concatenate(([0], np.cumsum(size - length + 1)))
         value = np.repeat(ids, size - length + 1)
@@ -308,12 +376,10 @@ def _resolve(length: int):
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             value[np.repeat(slot[part], count) + inner] = found
             a = b
-        out = []
-        for mine in sent:
-            count = (size - length + 1)[mine]
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            out.append(squeeze(np.diff(value[np.repeat(slot[mine], count) + inner], prepend=np.int64(0)).tobytes()))
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "least": out})
+        raw = value.tobytes()
+        answers = [raw[8 * x : 8 * y] for x, y in zip(slot[:-1].tolist(), slot[1:].tolist())]
+        order = np.lexsort((seq, block))
+        return _rows(back.send(block[order], (seq[order], _objects([answers[k] for k in which[order].tolist()]))), me)
 
     return run
 
@@ -324,17 +390,17 @@ def _cover(buckets: int, length: int):
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame, least: pd.DataFrame) -> pd.DataFrame:
         block = _Block(docs["blob"], length)
-        chosen, which, strings = block.shared(_marks(block, answers, buckets))
+        shared = block.shared(_marks(block, answers["blob"], buckets))
         flag = np.zeros(len(block.raw) + 1, bool)
-        if len(chosen):
-            least = least.sort_values("bucket")
-            value = np.concatenate([np.cumsum(np.frombuffer(unsqueeze(x), np.int64)) for x in least["least"]])
-            size = np.array([len(s) for s in strings], np.int64) - length + 1
+        if len(shared.which):
+            _, seq, values = Route(buckets, _LEAST).received(least["blob"])
+            value = np.frombuffer(b"".join(values[np.argsort(seq)]), np.int64)
+            size = np.array([len(s) for s in shared.strings], np.int64) - length + 1
             slot = np.cumsum(size) - size
-            count = size[which]
+            count = size[shared.which]
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            smaller = value[np.repeat(slot[which], count) + inner] < np.repeat(block.ids[block.text[chosen]], count)
-            flag[(np.repeat(block.start[chosen], count) + inner)[smaller]] = True
+            smaller = value[np.repeat(slot[shared.which], count) + inner] < np.repeat(block.ids[shared.text], count)
+            flag[(np.repeat(shared.start, count) + inner)[smaller]] = True
         total = np.concatenate((np.zeros(length, np.int32), np.cumsum(flag[:-1], dtype=np.int32)))
         gone = total[length:] > total[:-length]
         out = []
@@ -365,18 +431,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     n = block_count(long)
     dealt = pack(long, n, unique=True).repartition(n, "block")
-    told = dealt.groupBy("block").applyInPandas(_announce(n, length), "bucket int, block int, tags binary, bits binary")
-    answers = told.groupBy("bucket").applyInPandas(_repeated, "block int, bucket int, bits binary")
-    shipped = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_ship(n, length), "bucket int, block int, blob binary")
-    least = shipped.groupBy("bucket").applyInPandas(_resolve(length), "block int, bucket int, least binary")
+    told = Route(n, _TOLD).deliver(dealt.groupBy("block").applyInPandas(_announce(n, length), _PARTS))
+    marks = Route(n, _MARKS).deliver(told.groupBy("to").applyInPandas(_repeated(n, CROWD), _PARTS)).withColumnRenamed("to", "block")
+    shipped = Route(n, _SENT).deliver(dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_ship(n, length), _PARTS))
+    least = Route(n, _LEAST).deliver(shipped.groupBy("to").applyInPandas(_resolve(n, length), _PARTS)).withColumnRenamed("to", "block")
     # Both kinds of answers reach the block's last pass as one table.
-    back = answers.select("block", "bucket", "bits", F.lit(None).cast("binary").alias("least")).unionByName(least.select("block", "bucket", F.lit(None).cast("binary").alias("bits"), "least"))
+    back = marks.select("block", "blob", F.lit(True).alias("mark")).unionByName(least.select("block", "blob", F.lit(False).alias("mark")))
     last = _cover(n, length)
 
     def cover(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame(columns=["digest", "first_id", "n_removed", "n_spans", "kept_sha256"])
-        return last(docs, back[back["bits"].notna()], back[back["least"].notna()])
+        return last(docs, back[back["mark"]], back[~back["mark"]])
 
     found = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(cover, "digest string, first_id long, n_removed long, n_spans long, kept_sha256 string")
     both = given.join(found, "digest", "left")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from braidwork.llm import blocks as B
 from braidwork.llm import suffixes as S
 
 from .helpers import clashing, documents, sentence
@@ -69,3 +70,28 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in S.remove_repeats(clashing(documents(spark))).collect()), key=str)
     assert got == brute(rows, 50)
     assert S.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_many_blocks_hops_and_crowded_anchors_match_brute_force(spark, monkeypatch):
+    rng, rows = random.Random(14), []
+    shared = [" ".join(sentence(rng, 12)) for _ in range(5)]
+    for i in range(120):
+        parts = [" ".join(sentence(rng, rng.randint(0, 12))), rng.choice(shared)[rng.randint(0, 9) :] if rng.random() < 0.6 else " " * rng.randint(16, 70), " ".join(sentence(rng, 4))]
+        rows.append((rng.randrange(400), "".join(parts)))
+    want = brute(rows, 50)
+    for n, fan, crowd in ((9, 2, 4096), (5, 1024, 1), (11, 3, 4)):
+        monkeypatch.setattr(S, "block_count", lambda rows: n)
+        monkeypatch.setattr(B, "FAN", fan)
+        monkeypatch.setattr(S, "CROWD", crowd)
+        assert run(spark, rows) == want
+
+
+def test_crowded_runs_are_cut_so_that_equal_windows_stay_together():
+    rng = random.Random(3)
+    data = np.frombuffer(b"".join(bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(20, 60))) + b" " * 20 for _ in range(60)), np.uint8)
+    start, count, key, _ = S.runs(data, np.array([0, len(data)]), 50)
+    run, at, n, second = S.cut_again(data, start, count, 50)
+    assert sorted(x for a, k in zip(at, n) for x in range(a, a + k)) == sorted(x for a, k in zip(start, count) for x in range(a, a + k))
+    blanks = np.bincount(np.unique(key, return_inverse=True)[1], weights=count).max()
+    again = np.bincount(np.unique(np.stack((key[run], second)), axis=1, return_inverse=True)[1].reshape(-1), weights=n).max()
+    assert again < blanks
