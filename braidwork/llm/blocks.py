@@ -93,6 +93,13 @@ def unpack(blobs: Iterable[bytes], unique: bool = False) -> tuple[np.ndarray, li
     return np.array([i for i, _ in rows], np.int64), [t for _, t in rows]
 
 
+def objects(items: list[bytes]) -> np.ndarray:
+    """Strings of bytes as a column."""
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
+
+
 def freeze(columns: Sequence[np.ndarray]) -> bytes:
     """Columns of one length as compressed bytes by place; the second, most often sorted, as its steps.
 
@@ -118,9 +125,7 @@ def thaw(blobs: Iterable[bytes], dtypes: Sequence[str]) -> list[np.ndarray]:
         for k, t in enumerate(map(np.dtype, dtypes)):
             if t == object:
                 ends = np.cumsum(np.frombuffer(raw, np.uint32, n, at), dtype=np.int64) + at + 4 * n
-                c = np.empty(n, object)
-                c[:] = [raw[a:b] for a, b in zip([at + 4 * n, *ends.tolist()], ends.tolist())]
-                found[k].append(c)
+                found[k].append(objects([raw[a:b] for a, b in zip([at + 4 * n, *ends.tolist()], ends.tolist())]))
                 at = int(ends[-1]) if n else at
                 continue
             c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n).T).view(t).reshape(-1)

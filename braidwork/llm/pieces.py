@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import block_count, pack, squeeze, unpack, unsqueeze
+from .blocks import Route, block_count, objects, pack, unpack
 from .common import text_or_empty, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -109,12 +109,11 @@ def _flags(joins: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(joins, np.uint8), count=(_HIGH + 1) ** 2).view(bool)
 
 
-def _cut(text: str, flags: np.ndarray, heads: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _cut(text: str, flags: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a text, and where its words begin, and end, the last of them.
 
     A word ends where no piece has the two characters side by side, so no piece spans two words and the
-    best splits of the words make up the best split of the text; before every place in ``heads``; and,
-    if ``most`` is given, after so many characters.
+    best splits of the words make up the best split of the text; and before every place in ``heads``.
     """
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     low = np.minimum(code, _HIGH).astype(np.int32)
@@ -123,27 +122,9 @@ def _cut(text: str, flags: np.ndarray, heads: np.ndarray, most: int | None = Non
     np.logical_not(flags[low[:-1] * (_HIGH + 1) + low[1:]], out=apart[1:-1])
     apart[heads] = True
     cuts = np.flatnonzero(apart)
-    size = np.diff(cuts)
-    if most and len(size) and size.max() > most:
-        parts = -(-size // most)
-        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        cuts = np.append(np.repeat(cuts[:-1], parts) + step * most, len(code))
     return code, cuts
 
 
-def splitter(joins: bytes) -> Callable[[str], list[str]]:
-    """The words of a text, long ones in parts, whose concatenation is a space and the text; none for the empty text."""
-    flags = _flags(joins)
-
-    def split(text: str) -> list[str]:
-        if not text:
-            return []
-        cuts = _cut(" " + text, flags, np.zeros(0, np.int64), MOST_CHARS)[1].tolist()
-        return [f" {text}"[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    return split
-
-
 def decode(spellings: list[bytes], ids) -> str:
     """The text of a sequence of ids."""
     return b"".join(map(spellings.__getitem__, ids))[1:].decode("utf-8", "replace")
@@ -249,56 +230,55 @@ class _Words:
         distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         self.number = number.astype(np.int32)
         self.words = [whole[x:y].encode() for x, y in zip(begins[first].tolist(), ends[first].tolist())]
-        bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        self.cut = np.searchsorted(bucket.astype(np.int64), np.arange(buckets + 1))
+        self.bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascends with the words
+
+
+#: A word asked for: its number in the block, block, bytes. Answered: that number, the ids' bytes.
+_ASKED, _ANSWERS = ("u4", "u4", "O"), ("u4", "O")
 
 
 def _ask(joins: bytes, buckets: int):
+    route = Route(buckets, _ASKED)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        me = int(rows["block"].iloc[0])
         words = _Words(unpack(rows["blob"])[1], joins, buckets)
-        out = []
-        for k in range(buckets):
-            if (b := words.cut[k + 1]) > (a := words.cut[k]):
-                part = words.words[a:b]
-                out.append((k, int(rows["block"].iloc[0]), squeeze(np.array([b - a, *map(len, part)], np.int32).tobytes() + b"".join(part))))
+        n = len(words.words)
+        sent = route.send(words.bucket, (np.arange(n), np.full(n, me), objects(words.words)))
         del words
         tidy()
-        return pd.DataFrame(out, columns=["bucket", "block", "blob"])
+        return pd.DataFrame({"to": [t for t, _ in sent], "sender": me, "blob": [b for _, b in sent]})
 
     return run
 
 
-def _asked(blob: bytes) -> list[bytes]:
-    raw = unsqueeze(blob)
-    n = int(np.frombuffer(raw, np.int32, 1)[0])
-    size = np.frombuffer(raw, np.int32, n, 4)
-    ends = 4 + 4 * n + np.cumsum(size)
-    return [raw[b - s : b] for b, s in zip(ends.tolist(), size.tolist())]
+def _distinct(buckets: int):
+    route = Route(buckets, _ASKED)
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = set().union(*(route.received([blob])[3].tolist() for blob in rows["blob"]))
+        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "word": [t for w in found if len(t := w.decode()) <= MOST_CHARS]})
 
-def _distinct(rows: pd.DataFrame) -> pd.DataFrame:
-    found: set[bytes] = set()
-    for blob in rows["blob"]:
-        found.update(_asked(blob))
-    return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "word": [t for w in found if len(t := w.decode()) <= MOST_CHARS]})
+    return run
 
 
-def _answer(vocabulary: Vocabulary):
+def _answer(vocabulary: Vocabulary, buckets: int):
     spell, fold = vocabulary.spell(), folder(vocabulary)
+    asked_for, back = Route(buckets, _ASKED), Route(buckets, _ANSWERS)
 
     def run(asked: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
-        ids = {w.encode(): (spell(w, i.tolist()) if i.min() < 0 else i) for w, i in zip(encoded["word"], encoded["ids"])}
-        out = []
-        for block, bucket, blob in zip(asked["block"], asked["bucket"], asked["blob"]):
-            found = []
-            for w in _asked(blob):
-                if w not in ids:  # a long word
-                    ids[w] = np.array(spell(t := w.decode(), fold(t)), np.int32)
-                found.append(ids[w])
-            out.append((block, bucket, squeeze(np.array([len(x) for x in found], np.int32).tobytes() + np.concatenate(found).astype(np.int32).tobytes()), len(found)))
-        del ids
+        ids = {w.encode(): np.asarray(spell(w, i.tolist()) if i.min() < 0 else i, np.int32).tobytes() for w, i in zip(encoded["word"], encoded["ids"])}
+        bucket, seq, block, words = asked_for.received(asked["blob"])
+        order = np.lexsort((seq, block))
+        found = []
+        for w in words[order].tolist():
+            if w not in ids:  # a long word
+                ids[w] = np.array(spell(t := w.decode(), fold(t)), np.int32).tobytes()
+            found.append(ids[w])
+        sent = back.send(block[order], (seq[order], objects(found)))
+        del ids, found
         tidy()
-        return pd.DataFrame(out, columns=["block", "bucket", "ids", "n"])
+        return pd.DataFrame({"to": [t for t, _ in sent], "sender": int(bucket[0]) if len(bucket) else 0, "blob": [b for _, b in sent]})
 
     return run
 
@@ -307,19 +287,18 @@ _FILLED = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_toke
 
 
 def _fill(vocabulary: Vocabulary, buckets: int):
-    joins, spellings, schema = vocabulary.joins(), vocabulary.spellings(), _FILLED
+    joins, spellings, schema, route = vocabulary.joins(), vocabulary.spellings(), _FILLED, Route(buckets, _ANSWERS)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
         row_ids, texts = unpack(docs["blob"].to_pylist())
         words = _Words(texts, joins, buckets)
-        sizes, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for _, n, blob in sorted(zip(*(answers[c].to_pylist() for c in ("bucket", "n", "ids")))):
-            both = np.frombuffer(unsqueeze(blob), np.int32)
-            sizes.append(both[:n])
-            flat.append(both[n:])
-        size, flat = np.concatenate(sizes), np.concatenate(flat)
+        _, seq, found = route.received(answers["blob"].to_pylist())
+        found = found[np.argsort(seq)].tolist()
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
+        del seq, found
         begin = (np.cumsum(size) - size).astype(np.int32)
         spelt = np.array([len(x) for x in spellings], np.int32)
         parts, counts, same, a = [np.zeros(0, np.int32)], [], [], 0
@@ -363,10 +342,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str =
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     n = block_count(rows, block_bytes=BLOCK_BYTES)
     dealt = pack(rows, n).repartition(n, "block")
-    asked = dealt.groupBy("block").applyInPandas(_ask(vocabulary.joins(), n), "bucket int, block int, blob binary").repartition(n, "bucket")
-    words = asked.groupBy("bucket").applyInPandas(_distinct, "bucket int, word string").repartition(n, "bucket")
+    parts = "to int, sender int, blob binary"
+    asked = Route(n, _ASKED).deliver(dealt.groupBy("block").applyInPandas(_ask(vocabulary.joins(), n), parts)).withColumnRenamed("to", "bucket").repartition(n, "bucket")
+    words = asked.groupBy("bucket").applyInPandas(_distinct(n), "bucket int, word string").repartition(n, "bucket")
     encoded = encode_words(words, vocabulary)
-    answers = asked.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInPandas(_answer(vocabulary), "block int, bucket int, ids binary, n int")
+    answers = asked.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInPandas(_answer(vocabulary, n), parts)
+    answers = Route(n, _ANSWERS).deliver(answers).withColumnRenamed("to", "block")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _fill(vocabulary, n), "id long, ids array<int>, n_tokens long, n_words long, round_trip boolean"
     )

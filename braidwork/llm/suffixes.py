@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Route, block_count, bucketed, pack, unpack
+from .blocks import Route, block_count, bucketed, objects, pack, unpack
 from .common import text_or_empty
 
 ANCHOR = 16
@@ -274,12 +274,6 @@ def _rows(sent: list[tuple[int, bytes]], sender: int) -> pd.DataFrame:
     return pd.DataFrame({"to": [t for t, _ in sent], "sender": sender, "blob": [b for _, b in sent]})
 
 
-def _objects(items: list[bytes]) -> np.ndarray:
-    out = np.empty(len(items), object)
-    out[:] = items
-    return out
-
-
 def _announce(buckets: int, length: int):
     route = Route(buckets, _TOLD)
 
@@ -339,7 +333,7 @@ def _ship(buckets: int, length: int):
         np.minimum.at(low, shared.which, block.ids[shared.text])
         place, tag = bucketed(shared.key[first], buckets)
         n = np.arange(len(first))
-        return _rows(route.send(place, (n, np.full(len(n), me), tag, low, _objects(shared.strings))), me)
+        return _rows(route.send(place, (n, np.full(len(n), me), tag, low, objects(shared.strings))), me)
 
     return run
 
@@ -379,7 +373,7 @@ def _resolve(buckets: int, length: int):
         raw = value.tobytes()
         answers = [raw[8 * x : 8 * y] for x, y in zip(slot[:-1].tolist(), slot[1:].tolist())]
         order = np.lexsort((seq, block))
-        return _rows(back.send(block[order], (seq[order], _objects([answers[k] for k in which[order].tolist()]))), me)
+        return _rows(back.send(block[order], (seq[order], objects([answers[k] for k in which[order].tolist()]))), me)
 
     return run
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from braidwork.llm import blocks as B
 from braidwork.llm import pieces as S
 
 from .helpers import ODD, clashing, documents, sentence
@@ -55,11 +56,18 @@ def test_odd_rows_round_trip(spark, vocabulary):
     assert S.encode(documents(spark, []), vocabulary).count() == 0
 
 
-def test_words_join_to_the_text(vocabulary):
-    split = S.splitter(vocabulary.joins())
-    for text in ["", "a b", "x" * 200, " \n\t ", "éè▁"]:
-        assert "".join(split(text)) == (" " + text if text else "")
-    assert max(map(len, split("x" * 200))) <= S.MOST_CHARS
+def test_blocks_and_hops_change_nothing(spark, vocabulary, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(sentence(rng, 40)) for _ in range(60)] + ["".join(rng.choice("ACGT") for _ in range(5000)), "\u6f22\u5b57" * 2500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = None
+    for n, fan in ((3, 1024), (11, 2), (9, 4)):
+        monkeypatch.setattr(S, "block_count", lambda rows, block_bytes: n)
+        monkeypatch.setattr(B, "FAN", fan)
+        got = {r["id"]: r["ids"] for r in S.encode(docs, vocabulary).collect()}
+        want = want or got
+        assert got == want and len(got) == len(texts)
+    assert all(want[i] == viterbi(vocabulary, texts[i])[1] for i in (60, 61))
 
 
 def test_long_runs_are_split_best_as_a_whole(spark, vocabulary):
