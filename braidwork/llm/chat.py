@@ -234,3 +234,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
     return digests(format_windows(rows.unionByName(probe)))
+
+
+def turns_query(spark, sf_dir: str) -> DataFrame:
+    """``chat_turns``: what ``op2_chat`` reads back of turns and of the text under the loss, without what depends on the template."""
+    return query(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+#: The same of the turns as they were given.
+TURNS_SQL = f"""
+with turns as (
+  select conv_id::bigint as conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256
+from turns group by conv_id
+"""

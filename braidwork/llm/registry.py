@@ -18,9 +18,11 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_embeddings": vectors.query,
     "pipeline": corpus_pipeline.run,
+    "chat_turns": chat.turns_query,
 }
 ORACLE_SQL = {
     "op1_secrets": secrets.ORACLE_SQL,
     "op5_suffix_dedup": suffixes.ORACLE_SQL,
     "op10_embeddings": vectors.ORACLE_SQL,
+    "chat_turns": chat.TURNS_SQL,
 }

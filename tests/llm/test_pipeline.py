@@ -36,7 +36,7 @@ def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracles_agree(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(registry.ORACLE_SQL[name])
     got = registry.QUERIES[name](spark, SF)
