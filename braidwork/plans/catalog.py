@@ -23,6 +23,7 @@ from ..operators import regression as R
 from ..operators import validation as V
 from ..operators.windows import collection_schedule
 from . import binding as T
+from . import solvers as L
 from .binding import duck
 from .config import Protocol
 
@@ -232,10 +233,13 @@ _HUBER = """centred as (select *, median(x) over (partition by g) as m from vals
     case when count(*) = 1 then null when any_value(spread) = 0 then 1e-12 else any_value(scale) ** 2 / greatest(sum(w) ** 2 / sum(w * w), 1) end as variance from weighed group by g)"""
 
 
+_HEDGES = f"""with recursive vals as (select pull_id || chunk_i || chunk_j as g, d as x from pairs where d is not null), {_HUBER},
+    sizes as (select pull_id, chunk_i, chunk_j, pull_id || chunk_i || chunk_j as g, count(*) as n_overlap, count(d) as n_usable from pairs group by all having count(d) >= 14),
+    hedges as materialized (select pull_id, chunk_i, chunk_j, location as log_ratio, greatest(variance, 1e-6) as variance, scale as robust_scale, n_overlap, n_usable, mean_away as mean_abs_residual from sizes join huber using (g))"""
+
+
 @_query("overlap_edges_huber", EDGE + " d:log_ratio d:variance d:robust_scale i:n_overlap i:n_usable d:mean_abs_residual",
-    f"""with recursive vals as (select pull_id || chunk_i || chunk_j as g, d as x from pairs where d is not null), {_HUBER},
-    sizes as (select pull_id, chunk_i, chunk_j, pull_id || chunk_i || chunk_j as g, count(*) as n_overlap, count(d) as n_usable from pairs group by all having count(d) >= 14)
-    select pull_id, chunk_i, chunk_j, location as log_ratio, greatest(variance, 1e-6) as variance, scale as robust_scale, n_overlap, n_usable, mean_away as mean_abs_residual from sizes join huber using (g)""", ("pairs",))
+    _HEDGES + " select * from hedges", ("pairs",))
 def _(spark, d):
     return O.edges(T.raw(spark, d))
 
@@ -316,18 +320,18 @@ def _(spark, d):
     return O.zero_bookkeeping(raw, O.daily_series(rows))
 
 
-@_query("calibrated_daily_series", PULL_DATE + " d:value d:calibration_se i:n_contributing_chunks b:had_zero_chunk")
+@_query("calibrated_daily_series", PULL_DATE + " d:value d:calibration_se i:n_contributing_chunks b:had_zero_chunk", f"{_HEDGES}, {L.GRAPH}, {L.CALIBRATED}", ("pairs", "raw"))
 def _(spark, d):
     return O.calibrate(T.raw(spark, d)).series
 
 
-@_query("graph_scales", "s:pull_id s:chunk_id d:log_scale d:log_scale_variance s:reference_chunk")
+@_query("graph_scales", "s:pull_id s:chunk_id d:log_scale d:log_scale_variance s:reference_chunk", f"{_HEDGES}, {L.GRAPH} select * from scales", ("pairs",))
 def _(spark, d):
     raw = T.raw(spark, d)
     return O.solve_scales(raw, O.edges(raw)).scales
 
 
-@_query("graph_diagnostics", "s:pull_id b:connected i:n_nodes i:n_edges i:n_zero_dispersion_edges i:n_scale_groups d:max_log_scale_variance d:sequential_max_log_scale_variance d:weighted_edge_rmse")
+@_query("graph_diagnostics", "s:pull_id b:connected i:n_nodes i:n_edges i:n_zero_dispersion_edges i:n_scale_groups d:max_log_scale_variance d:sequential_max_log_scale_variance d:weighted_edge_rmse", f"{_HEDGES}, {L.GRAPH}, {L.GRAPH_ROW}", ("pairs", "raw"))
 def _(spark, d):
     raw = T.raw(spark, d)
     return O.solve_scales(raw, O.edges(raw)).diagnostics
@@ -561,23 +565,33 @@ def _(spark, d):
     return P.propagated_calibration_se(_gappy(spark, d).withColumn("calibration_se", 1.0 + F.col("collection_day")), _fixed_weights(spark))
 
 
-@_query("gls_consensus", "t:historical_date d:value d:standard_error d:ci_lower d:ci_upper")
+_ALL_PULLS = "members as (select 'all' as g, pull_id from pulls)"
+_IN_ORDER = "ranked as (select pull_id, row_number() over (order by collection_day, stream_id, replicate_id, pull_id) as r from pulls)"
+
+
+@_query("gls_consensus", "t:historical_date d:value d:standard_error d:ci_lower d:ci_upper",
+    f"""with recursive {_ALL_PULLS}, {L.WEIGHTS}, away as (select historical_date, any_value(c) as value, median(abs(value - c)) as mad from residuals join fit using (g, historical_date) group by historical_date), usual as (select median(mad) as u from away),
+    errors as (select historical_date, value, (select any_value(base_se) from best) * case when u > 1e-12 then least(greatest(mad / u, 0.25), 4) else 1 end as standard_error from away, usual)
+    select *, value - 1.96 * standard_error as ci_lower, value + 1.96 * standard_error as ci_upper from errors""", ("scaled", "pulls"))
 def _(spark, d):
     return C.gls_consensus(T.panel(spark, d)).series
 
 
-@_query("gls_weights", "s:pull_id d:weight d:base_se d:spectral_effective_pulls d:kish_effective_pulls i:n_unique_pulls b:feasible")
+@_query("gls_weights", "s:pull_id d:weight d:base_se d:spectral_effective_pulls d:kish_effective_pulls i:n_unique_pulls b:feasible",
+    f"with recursive {_EXACT}, members as (select distinct 'all' as g, representative as pull_id from same), {L.WEIGHTS} select pull_id, w as weight, base_se, spectral as spectral_effective_pulls, 1 / sum(w * w) over () as kish_effective_pulls, count(*) over () as n_unique_pulls, true as feasible from best join shrink using (g)", ("panel", "scaled"))
 def _(spark, d):
     return C.pull_weights(_with_copy(spark, d).select(*P.KEY, "value"))
 
 
-@_query("leave_one_out", "s:left_out d:mae d:mae_100 d:max_change")
+@_query("leave_one_out", "s:left_out d:mae d:mae_100 d:max_change",
+    f"with recursive members as (select a.pull_id as g, b.pull_id from pulls a join pulls b on a.pull_id <> b.pull_id union all select 'all', pull_id from pulls), {L.WEIGHTS}, gaps as (select a.g, abs(a.c - b.c) as d from fit a join fit b using (historical_date) where b.g = 'all' and a.g <> 'all') select g as left_out, avg(d) as mae, avg(d) / 100 as mae_100, max(d) as max_change from gaps group by g", ("scaled", "pulls"))
 def _(spark, d):
     rows = T.panel(spark, d)
     return C.leave_one_out(rows.select(*P.KEY, "value"), T.pulls(spark))
 
 
-@_query("consensus_convergence", "i:n_pulls d:mae d:mae_100 d:max_change")
+@_query("consensus_convergence", "i:n_pulls d:mae d:mae_100 d:max_change",
+    f"with recursive {_IN_ORDER}, members as (select n::varchar as g, pull_id from ranked join (select unnest(range(3, 10)) as n) on r <= n), {L.WEIGHTS}, gaps as (select a.g, abs(a.c - b.c) as d from fit a join fit b on a.historical_date = b.historical_date and b.g::int = a.g::int - 1) select g::int as n_pulls, avg(d) as mae, avg(d) / 100 as mae_100, max(d) as max_change from gaps group by g", ("scaled", "pulls"))
 def _(spark, d):
     rows = T.panel(spark, d)
     return C.convergence(rows.select(*P.KEY, "value"), T.pulls(spark))
@@ -660,12 +674,13 @@ def _(spark, d):
     return B.benchmark_fit(_first_pull(spark, d), T.months(spark, d))
 
 
-@_query("benchmarked_series", "t:historical_date d:preliminary_value d:value d:benchmark_correction b:clipped")
+@_query("benchmarked_series", "t:historical_date d:preliminary_value d:value d:benchmark_correction b:clipped", f"with recursive {L.CORRECTED} select * from corrected", ("months", "scaled"))
 def _(spark, d):
     return B.corrected_series(_first_pull(spark, d), T.months(spark, d))
 
 
-@_query("benchmark_diagnostics", "i:n_daily_observations i:n_benchmark_constraints d:benchmark_rmse d:mean_absolute_correction")
+@_query("benchmark_diagnostics", "i:n_daily_observations i:n_benchmark_constraints d:benchmark_rmse d:mean_absolute_correction",
+    f"with recursive {L.CORRECTED}, fits as (select m.p, avg(c.value) - any_value(m.value) as r from months2 m join corrected c on historical_date between period_start and period_end group by m.p) select (select count(*) from corrected) as n_daily_observations, count(*) as n_benchmark_constraints, sqrt(avg(r * r)) as benchmark_rmse, (select avg(abs(benchmark_correction)) from corrected) as mean_absolute_correction from fits", ("months", "scaled"))
 def _(spark, d):
     series = B.corrected_series(_first_pull(spark, d), T.months(spark, d))
     return B.benchmark_diagnostics(series, B.benchmark_fit(series.select(*P.DATE, "value"), T.months(spark, d)))
@@ -766,12 +781,18 @@ def _(spark, d):
     return FA.corrected_covariance(FA.standardized(FA.joint_panel(_factor_panel(spark, d))))
 
 
-@_query("factor_loadings", "s:series_id s:factor d:loading d:attenuation_ratio")
+@_query("factor_loadings", "s:series_id s:factor d:loading d:attenuation_ratio",
+    f"""with recursive {L.FACTORS}, kept as (select greatest(1, count(*) filter (value > (select sum(v) from mats where g = 'net' and pa = pb) / k)) as m from eigen where g = 'net' group by k),
+    both_v as (select p.pull_id, p.i, net.v as v, n.rank, n.v[p.i] * sqrt(greatest(n.value, 0)) as loading, raws.v as rv, r.v[p.i] * sqrt(greatest(r.value, 0)) / sqrt(raws.v) as raw_share, first.v[p.i] * sqrt(greatest(first.value, 0)) / sqrt(net.v) as share
+      from pulls9 p join mats net on net.g = 'net' and net.pa = p.pull_id and net.pb = p.pull_id join mats raws on raws.g = 'raw' and raws.pa = p.pull_id and raws.pb = p.pull_id
+      cross join (select * from eigen where g = 'net') n cross join (select * from eigen where g = 'net' and rank = 1) first cross join (select * from eigen where g = 'raw' and rank = 1) r)
+    select pull_id as series_id, 'F' || rank as factor, loading, case when abs(share) > 1e-12 then raw_share / share end as attenuation_ratio from both_v, kept where rank <= m""", ("scaled",))
 def _(spark, d):
     return FA.error_corrected_factors(_factor_panel(spark, d), allow_indefinite=True).loadings
 
 
-@_query("factor_scores", "t:historical_date s:factor d:score d:score_se")
+@_query("factor_scores", "t:historical_date s:factor d:score d:score_se",
+    f"with recursive {L.FACTORS}, lead_ as (select value, v from eigen where g = 'net' and rank = 1), away as (select f.*, x - avg(x) over (partition by pull_id) as d from f) select historical_date, 'F1' as factor, sum(d * v[i]) / sqrt(greatest(any_value(value), 1e-12)) as score, sqrt(sum(e * v[i] ** 2) / greatest(any_value(value), 1e-12)) as score_se from away join pulls9 using (pull_id) cross join lead_ group by historical_date", ("scaled",))
 def _(spark, d):
     return FA.error_corrected_factors(_factor_panel(spark, d), n_factors=1, allow_indefinite=True).scores
 
@@ -860,6 +881,6 @@ def _(spark, d):
     return X.duplicate_summary(pairs, X.duplicate_components(pairs, rows))
 
 
-@_query("design_resistance", "i:n_chunks d:graph_resistance d:path_resistance d:reduction")
+@_query("design_resistance", "i:n_chunks d:graph_resistance d:path_resistance d:reduction", f"with recursive {L.RESISTANCE}", ("windows",))
 def _(spark, d):
     return spark.createDataFrame([X.design_resistance(T.windows(spark, d).orderBy("chunk_id").toPandas())])  # one row per window
