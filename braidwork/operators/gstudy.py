@@ -61,7 +61,12 @@ def anova(rows: DataFrame) -> DataFrame:
     # Summed over all cells, a margin's square counts once for every cell in it, as the formulas ask.
     sums = m.groupBy("series_id").agg(*[F.sum(F.pow(e, 2)).alias(f"ss_{k}") for k, e in parts.items()], F.first("g0").alias("grand_mean"))
     within = rows.withColumn("e", F.pow(F.col("g") - F.avg("g").over(W.partitionBy("series_id", *CELL)), 2)).groupBy("series_id").agg(F.sum("e").alias("ss_E"))
-    wide = sums.join(within, "series_id").join(layout(rows), "series_id")
+    return _mean_squares(sums.join(within, "series_id").join(layout(rows), "series_id"))
+
+
+def _mean_squares(wide: DataFrame) -> DataFrame:
+    """The table of effects from columns ``ss_T`` ... ``ss_E`` and the levels ``a, b, c, r`` of every series."""
+    c = F.col
     a, b, k = c("a") - 1, c("b") - 1, c("c") - 1
     df = {"T": a, "D": b, "S": k, "TD": a * b, "TS": a * k, "DS": b * k, "TDS": a * b * k, "E": c("a") * c("b") * c("c") * (c("r") - 1)}
     one = lambda name: F.struct(
@@ -118,24 +123,50 @@ def bootstrap(rows: DataFrame, replicates: int, block: int = 28, seed: int = 202
     """Moving-block bootstrap of the G and Phi coefficients: one row per series and replicate.
 
     Runs of ``block`` neighbouring dates are drawn with replacement and cut to the number of dates; the
-    draws are a table that is joined with the panel, so all replicates are one job.
+    draws are a table and all replicates are one job. A drawn date brings the squares of its own margins as
+    one row; only the means of cells over dates are summed anew, so no resampled panel is sorted.
     """
     dates = rows.select("series_id", "historical_date").distinct()
-    dates = dates.withColumn("t", F.row_number().over(W.partitionBy("series_id").orderBy("historical_date")) - 1).withColumn("n", F.count("*").over(W.partitionBy("series_id")))
+    dates = dates.withColumn("at", F.row_number().over(W.partitionBy("series_id").orderBy("historical_date")) - 1).withColumn("n", F.count("*").over(W.partitionBy("series_id")))
     sizes = dates.select("series_id", "n").distinct()
-    draws = sizes.crossJoin(F.broadcast(dates.sparkSession.range(replicates).withColumnRenamed("id", "b")))
+    draws = sizes.crossJoin(F.broadcast(dates.sparkSession.range(replicates).withColumnRenamed("id", "draw")))
     width = F.least(F.lit(block), F.col("n"))
     draws = draws.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / width).cast("int") - 1)))
-    start = F.pmod(F.xxhash64(F.lit(seed), "series_id", "b", "k"), F.col("n") - width + 1)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "series_id", F.col("draw").cast("string"), F.col("k").cast("string")))
+    start = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % (F.col("n") - width + 1)  # 15 hex digits
     draws = draws.withColumn("start", start).withColumn("j", F.explode(F.sequence(F.lit(0), width.cast("int") - 1)))
-    draws = draws.withColumn("new_t", F.col("k") * width + F.col("j")).where("new_t < n").select("series_id", "b", "new_t", (F.col("start") + F.col("j")).alias("t"))
-    panel = rows.join(dates.select("series_id", "historical_date", "t"), ["series_id", "historical_date"]).join(draws, ["series_id", "t"])
-    keyed = panel.select(F.concat_ws("\u0001", "series_id", F.col("b").cast("string")).alias("series_id"), F.col("new_t").alias("historical_date"), "collection_day", "stream_id", "g")
-    parts = variance_components(anova(keyed), clip)
-    sizes = layout(keyed)
-    wide = parts.groupBy("series_id").agg(*[F.max(F.when(F.col("component") == k, F.col("variance"))).alias(f"v_{k}") for k in COMPONENTS]).join(sizes, "series_id")
+    draws = draws.where(F.col("k") * width + F.col("j") < F.col("n")).select("series_id", "draw", (F.col("start") + F.col("j")).alias("at"))
+
+    cell = rows.groupBy("series_id", *CELL).agg(F.avg("g").alias("x"), (F.var_pop("g") * F.count("*")).alias("e"))
+    level = cell.groupBy("series_id").agg(F.avg("x").alias("level"))  # taken off, as squares are subtracted from squares
+    cell = cell.join(level, "series_id").withColumn("x", F.col("x") - F.col("level")).join(dates.select("series_id", "historical_date", "at"), ["series_id", "historical_date"])
+    mean = lambda *by: F.avg("x").over(W.partitionBy("series_id", "at", *by))
+    _, day, stream = CELL
+    margins = cell.select("series_id", "at", "e", mean().alias("T"), mean(day).alias("TD"), mean(stream).alias("TS"), F.col("x").alias("X"))
+    square = lambda c: F.sum(F.col(c) * F.col(c)).alias(c)
+    by_date = margins.groupBy("series_id", "at").agg(*[square(c) for c in ("T", "TD", "TS", "X")], F.sum("e").alias("ss_E"))
+    found = draws.join(by_date, ["series_id", "at"]).groupBy("series_id", "draw").agg(*[F.sum(c).alias(c) for c in ("T", "TD", "TS", "X", "ss_E")], F.count("*").alias("n"))
+    over = lambda *by: F.avg("DS").over(W.partitionBy("series_id", "draw", *by))
+    cells = draws.join(cell, ["series_id", "at"]).groupBy("series_id", "draw", day, stream).agg(F.avg("x").alias("DS"))
+    cells = cells.select("series_id", "draw", "DS", over(day).alias("D"), over(stream).alias("S"), over().alias("O"))
+    found = found.join(cells.groupBy("series_id", "draw").agg(*[square(c) for c in ("DS", "D", "S", "O")], F.first("O").alias("grand_mean")), ["series_id", "draw"])
+    c = lambda k: F.col("n") * F.col(k) if k in ("DS", "D", "S", "O") else F.col(k)  # noqa: E731 - their cells lie on every date
+    ss = {
+        "T": c("T") - c("O"),
+        "D": c("D") - c("O"),
+        "S": c("S") - c("O"),
+        "TD": c("TD") - c("T") - c("D") + c("O"),
+        "TS": c("TS") - c("T") - c("S") + c("O"),
+        "DS": c("DS") - c("D") - c("S") + c("O"),
+        "TDS": c("X") - c("TD") - c("TS") - c("DS") + c("T") + c("D") + c("S") - c("O"),
+    }
+    keyed = F.concat_ws("\u0001", "series_id", F.col("draw").cast("string")).alias("series_id")
+    wide = found.join(layout(rows), "series_id").select(keyed, "a", "b", "c", "r", "ss_E", "grand_mean", *[v.alias(f"ss_{k}") for k, v in ss.items()])
+    parts = variance_components(_mean_squares(wide), clip)
+    wide = parts.groupBy("series_id").agg(*[F.max(F.when(F.col("component") == k, F.col("variance"))).alias(f"v_{k}") for k in COMPONENTS])
     key = F.split("series_id", "\u0001")
-    return wide.select(key[0].alias("series_id"), key[1].cast("int").alias("replicate"), *coefficients(wide, F.col("b"), F.col("c"), F.col("r"))[2:])
+    wide = wide.select(key[0].alias("series_id"), key[1].cast("int").alias("replicate"), *[f"v_{k}" for k in COMPONENTS]).join(layout(rows), "series_id")
+    return wide.select("series_id", "replicate", *coefficients(wide, F.col("b"), F.col("c"), F.col("r"))[2:])
 
 
 def percentile_interval(draws: DataFrame, column: str = "generalizability_coefficient") -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.expressions import ratio
+from ..functions.lineage import checkpointed
 from ..functions.linalg import normal_p
 
 
@@ -30,47 +33,74 @@ def _dot(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
-def reliability_corrected_ols(df: DataFrame, controls: tuple[str, ...] = (), hac_lags: int = 7) -> DataFrame:
-    """Attenuation-corrected slope of ``y`` on ``x`` with error variances ``sigma2``, ordered by ``t``.
+def reliability_corrected_by_series(df: DataFrame, controls: tuple[str, ...] = (), hac_lags: int = 7) -> DataFrame:
+    """Attenuation-corrected slope of ``y`` on ``x`` with error variances ``sigma2``, ordered by ``t``, per series.
 
-    Exact controls and an intercept are partialled out through their cross products, of which only as
-    many numbers as controls squared reach the driver; leverages are column expressions. Standard errors
-    are Newey-West over the corrected moment. One row: coefficient, standard_error, t_value, p_value,
-    reliability_ratio, denominators, n_observations, and the controls' coefficients.
+    Exact controls and an intercept are partialled out through their cross products, of which a series has
+    as many as controls squared; residuals and leverages are column expressions. Standard errors are
+    Newey-West over the corrected moment. One row per series: coefficient, standard_error, t_value, p_value,
+    reliability_ratio, denominators, n_observations, identified, and the controls' coefficients. A series with
+    too few rows, or whose error variance exceeds the predictor's variance, has null estimates.
     """
     rows = _usable(df, controls)
     z = [F.lit(1.0), *[F.col(c).cast("double") for c in controls]]
     k = len(z)
-    sums = [F.sum(a * b) for i, a in enumerate(z) for b in z[: i + 1]] + [F.sum(a * F.col(v)) for v in ("x", "y") for a in z]
-    got = [0.0 if v is None else float(v) for v in rows.agg(F.count("*"), *sums).first()]
-    n, got = int(got[0]), got[1:]
-    if n <= k + 2:
+    sums = [F.coalesce(F.sum(a * b), F.lit(0.0)) for a in z for b in [*z, F.col("x"), F.col("y")]]
+
+    def solve(parts: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in parts.iterrows():
+            table = np.array(row["sums"]).reshape(k, k + 2)
+            inverse = np.linalg.pinv(table[:, :k])
+            out.append((row["series_id"], row["n"], inverse.ravel(), inverse @ table[:, k], inverse @ table[:, k + 1]))
+        return pd.DataFrame(out, columns=["series_id", "n", "inverse", "bx", "by"])
+
+    products = rows.groupBy("series_id").agg(F.count("*").alias("n"), F.array(*sums).alias("sums"))
+    fits = products.groupBy("series_id").applyInPandas(solve, "series_id string, n long, inverse array<double>, bx array<double>, by array<double>")
+    part = lambda name, b: F.col(name) - _dot([F.col(b)[i] for i in range(k)], z)
+    leverage = _dot([_dot([F.col("inverse")[i * k + j] for j in range(k)], z) for i in range(k)], z)
+    rows = rows.join(fits, "series_id").withColumn("xr", part("x", "bx")).withColumn("yr", part("y", "by")).withColumn("m", 1 - leverage)
+    whole = W.partitionBy("series_id")
+    xx, xy, error = [F.sum(c).over(whole) for c in (F.col("xr") * F.col("xr"), F.col("xr") * F.col("yr"), F.col("m") * F.col("sigma2"))]
+    rows = rows.withColumn("xx", xx).withColumn("left", xx - error).withColumn("identified", (F.col("n") > k + 2) & (F.col("left") > 0))
+    rows = rows.withColumn("beta", F.when(F.col("identified"), xy / F.col("left")))
+    moment = F.col("xr") * (F.col("yr") - F.col("beta") * F.col("xr")) + F.col("beta") * F.col("m") * F.col("sigma2")
+    rows = checkpointed(rows.withColumn("g", moment).select("series_id", "t", "g", "n", "bx", "by", "xx", "left", "beta", "identified"))
+    per = rows.groupBy("series_id").agg(*[F.first(c).alias(c) for c in ("n", "bx", "by", "xx", "left", "beta", "identified")])
+    per = per.join(newey_west(rows.select("series_id", "t", "g"), hac_lags).select("series_id", "long_run_variance"), "series_id")
+    se = F.sqrt(F.col("long_run_variance") / F.col("n")) / F.abs(F.col("left") / F.col("n"))
+    per = per.withColumn("se", F.when(F.col("identified"), se)).withColumn("t_value", F.when(F.col("se") > 0, F.col("beta") / F.col("se")))
+
+    @F.pandas_udf("double")
+    def two_sided(t: pd.Series) -> pd.Series:
+        return pd.Series([normal_p(v) if pd.notna(v) else None for v in t], dtype=float)
+
+    names = ["intercept", *controls]
+    return per.select(
+        "series_id",
+        F.col("beta").alias("coefficient"),
+        F.col("se").alias("standard_error"),
+        "t_value",
+        F.when(F.col("t_value").isNotNull(), two_sided("t_value")).alias("p_value"),
+        F.when(F.col("identified"), F.col("left") / F.col("xx")).alias("reliability_ratio"),
+        F.col("xx").alias("denominator_uncorrected"),
+        F.col("left").alias("denominator_corrected"),
+        F.col("n").alias("n_observations"),
+        "identified",
+        *[(F.col("by")[i] - F.col("beta") * F.col("bx")[i]).alias(f"control_{c}") for i, c in enumerate(names)],
+    )
+
+
+def reliability_corrected_ols(df: DataFrame, controls: tuple[str, ...] = (), hac_lags: int = 7) -> DataFrame:
+    """The regression of ``reliability_corrected_by_series`` on one series, which must be identified: one row."""
+    found = reliability_corrected_by_series(df.withColumn("series_id", F.lit("all")), controls, hac_lags)
+    row = found.first()
+    if row is None or row["n_observations"] <= len(controls) + 3:
         raise ValueError("too few observations")
-    zz, at = np.zeros((k, k)), 0
-    for i in range(k):
-        for j in range(i + 1):
-            zz[i, j] = zz[j, i] = got[at]
-            at += 1
-    inverse = np.linalg.pinv(zz)
-    bx, by = inverse @ np.array(got[at : at + k]), inverse @ np.array(got[at + k :])
-    part = lambda name, b: F.col(name) - _dot([F.lit(float(v)) for v in b], z)
-    leverage = _dot([_dot([F.lit(float(v)) for v in inverse[i]], z) for i in range(k)], z)
-    rows = rows.withColumn("xr", part("x", bx)).withColumn("yr", part("y", by)).withColumn("m", 1 - leverage)
-    xx, xy, error = rows.agg(F.sum(F.col("xr") * F.col("xr")), F.sum(F.col("xr") * F.col("yr")), F.sum(F.col("m") * F.col("sigma2"))).first()
-    left = xx - error
-    if left <= 0:
+    if not row["identified"]:
         raise IdentificationError("the error variance exceeds the predictor's variance")
-    beta = xy / left
-    moment = F.col("xr") * (F.col("yr") - beta * F.col("xr")) + beta * F.col("m") * F.col("sigma2")
-    lrv = newey_west(rows.select(F.lit("all").alias("series_id"), "t", moment.alias("g")), hac_lags).first()["long_run_variance"]
-    se = float(np.sqrt(lrv / n) / abs(left / n))
-    t = beta / se if se > 0 else None
-    zy = np.array(got[at + k :]) - beta * np.array(got[at : at + k])
-    names = ["intercept", *controls]
-    out = {"coefficient": beta, "standard_error": se, "t_value": t, "p_value": normal_p(t) if t is not None else None, "reliability_ratio": left / xx, "denominator_uncorrected": xx, "denominator_corrected": left, "n_observations": n}
-    out |= {f"control_{c}": float(v) for c, v in zip(names, inverse @ zy)}
-    schema = ", ".join(f"`{c}` {'long' if c == 'n_observations' else 'double'}" for c in out)
-    return df.sparkSession.createDataFrame([tuple(out.values())], schema)
+    names = [f for f in found.schema if f.name not in ("series_id", "identified")]
+    return df.sparkSession.createDataFrame([tuple(row[f.name] for f in names)], StructType(names))
 
 
 def newey_west(rows: DataFrame, lags: int) -> DataFrame:
@@ -94,16 +124,19 @@ def newey_west(rows: DataFrame, lags: int) -> DataFrame:
 def simex(df: DataFrame, lambdas: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5, 2.0), simulations: int = 200, seed: int = 20260727) -> DataFrame:
     """Mean slopes of ``y`` on ``x`` with added noise of each level, all simulations in one job.
 
-    Noise is a Box-Muller normal of a hash of seed, level, simulation and ``t``, the same on every run
-    and partitioning. Level 0 is the plain slope and is computed once.
+    Where ``df`` has a ``series_id`` every series has a curve of its own. Noise is a Box-Muller normal of the
+    MD5 digest of seed, level, simulation and ``t``, the same on every run and partitioning. Level 0 is the
+    plain slope and is computed once.
     """
-    draws = [(float(a), s) for a in lambdas for s in range(1 if a == 0 else simulations)]
-    grid = df.sparkSession.createDataFrame(draws, "lam double, simulation int")
-    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "lam", "simulation", "t"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * np.pi * unit(2))
-    rows = df.select("t", "y", "x", "sigma2").crossJoin(F.broadcast(grid)).withColumn("x", F.col("x") + F.sqrt(F.col("lam") * F.col("sigma2")) * noise)
-    slopes = rows.groupBy("lam", "simulation").agg(ratio(F.covar_samp("x", "y"), F.var_samp("x")).alias("slope"))
-    return slopes.groupBy("lam").agg(F.avg("slope").alias("mean_coefficient"), F.count("*").alias("simulations"))
+    draws = [(float(a), k, s) for k, a in enumerate(lambdas) for s in range(1 if a == 0 else simulations)]
+    grid = df.sparkSession.createDataFrame(draws, "lam double, level int, simulation int")
+    key = [c for c in ("series_id",) if c in df.columns]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("level", "simulation", "t")]))
+    unit = lambda at: (F.conv(F.substring("digest", at, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)  # noqa: E731 - 13 hex digits
+    noise = F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * np.pi * unit(14))
+    rows = df.select(*key, "t", "y", "x", "sigma2").crossJoin(F.broadcast(grid)).withColumn("digest", digest).withColumn("x", F.col("x") + F.sqrt(F.col("lam") * F.col("sigma2")) * noise)
+    slopes = rows.groupBy(*key, "lam", "simulation").agg(ratio(F.covar_samp("x", "y"), F.var_samp("x")).alias("slope"))
+    return slopes.groupBy(*key, "lam").agg(F.avg("slope").alias("mean_coefficient"), F.count("*").alias("simulations"))
 
 
 def simex_estimate(curve: DataFrame) -> float:

@@ -1,7 +1,8 @@
 """Registered queries of the series engine and their DuckDB counterparts.
 
 Every query is an operator applied to the bound tables. Numbers that both engines compute are rounded
-to six digits on either side, because sums differ in their last bits with the order of rows.
+to six digits on either side (``m``, for sums of squares: to two), because sums differ in their last bits with
+the order of rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "calibrated_daily_series"
 
-_SPARK = {"d": lambda c: (F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c), "i": lambda c: F.col(c).cast("long").alias(c), "b": lambda c: F.col(c).cast("boolean").alias(c), "t": lambda c: F.col(c).cast("date").alias(c), "s": lambda c: F.col(c).cast("string").alias(c)}
-_DUCK = {"d": "round(cast({0} as double), 6) + 0.0 as {0}", "i": "cast({0} as bigint) as {0}", "b": "cast({0} as boolean) as {0}", "t": "cast({0} as date) as {0}", "s": "cast({0} as varchar) as {0}"}
+_SPARK = {"m": lambda c: (F.round(F.col(c).cast("double"), 2) + F.lit(0.0)).alias(c), "d": lambda c: (F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c), "i": lambda c: F.col(c).cast("long").alias(c), "b": lambda c: F.col(c).cast("boolean").alias(c), "t": lambda c: F.col(c).cast("date").alias(c), "s": lambda c: F.col(c).cast("string").alias(c)}
+_DUCK = {"m": "round(cast({0} as double), 2) + 0.0 as {0}", "d": "round(cast({0} as double), 6) + 0.0 as {0}", "i": "cast({0} as bigint) as {0}", "b": "cast({0} as boolean) as {0}", "t": "cast({0} as date) as {0}", "s": "cast({0} as varchar) as {0}"}
 
 
 def _query(name: str, columns: str, sql: str | None = None, tables: tuple[str, ...] = ()):
@@ -623,7 +624,7 @@ _DSTUDY = """, v as (select max(variance) filter (component = 'T') as t, max(var
 def _register_gstudy(kind: str) -> None:
     base, needs = _ANOVA.format(_CELLS[kind]), ("inno",) if kind == "innovation" else ("panel",)
 
-    @_query(f"gstudy_anova_{kind}", "s:source d:sum_sq i:df d:mean_sq", base + " select * from anova", needs)
+    @_query(f"gstudy_anova_{kind}", "s:source m:sum_sq i:df d:mean_sq", base + " select * from anova", needs)
     def _(spark, d):
         return G.anova(G.transformed(T.panel(spark, d), kind))
 
@@ -640,7 +641,7 @@ for _kind in _CELLS:
     _register_gstudy(_kind)
 
 
-@_query("gstudy_bootstrap_interval", "d:ci_lower d:ci_upper")
+@_query("gstudy_bootstrap_interval", "d:ci_lower d:ci_upper", f"with {L.RESAMPLED} select quantile_cont(g, 0.025) as ci_lower, quantile_cont(g, 0.975) as ci_upper from drawn", ("panel",))
 def _(spark, d):
     return G.percentile_interval(G.bootstrap(G.transformed(T.panel(spark, d), "level"), 500))
 
@@ -664,26 +665,34 @@ def _(spark, d):
     return B.aggregation_matrix(_daily(spark, d), T.months(spark, d))
 
 
-def _first_pull(spark, d):
-    return P.baseline_scaled(T.panel(spark, d).where("pull_id = 'P001'")).select(*P.DATE, "value")
+def _each_pull(spark, d):
+    """The pulls as series of their own on a common baseline."""
+    return P.baseline_scaled(T.panel(spark, d)).select(F.col("pull_id").alias("series_id"), "historical_date", "value")
 
 
-@_query("benchmark_fit", "t:period_start t:period_end d:value d:fitted_value d:residual d:standardized_residual",
-    "select period_start, period_end, any_value(m.value) as value, avg(s.value) as fitted_value, avg(s.value) - any_value(m.value) as residual, (avg(s.value) - any_value(m.value)) / 2 as standardized_residual from months m join scaled s on s.pull_id = 'P001' and s.historical_date between period_start and period_end group by period_start, period_end", ("months", "scaled"))
+def _months(spark, d):
+    """The monthly periods, once for every pull."""
+    names = T.pulls(spark).select(F.col("pull_id").alias("series_id"))
+    return T.months(spark, d).drop("series_id").crossJoin(F.broadcast(names))  # 9 pulls
+
+
+@_query("benchmark_fit", "s:series_id t:period_start t:period_end d:value d:fitted_value d:residual d:standardized_residual",
+    "select s.pull_id as series_id, period_start, period_end, any_value(m.value) as value, avg(s.value) as fitted_value, avg(s.value) - any_value(m.value) as residual, (avg(s.value) - any_value(m.value)) / 2 as standardized_residual from months m join scaled s on s.historical_date between period_start and period_end group by s.pull_id, period_start, period_end", ("months", "scaled"))
 def _(spark, d):
-    return B.benchmark_fit(_first_pull(spark, d), T.months(spark, d))
+    return B.benchmark_fit(_each_pull(spark, d), _months(spark, d))
 
 
-@_query("benchmarked_series", "t:historical_date d:preliminary_value d:value d:benchmark_correction b:clipped", f"with recursive {L.CORRECTED} select * from corrected", ("months", "scaled"))
+@_query("benchmarked_series", "s:series_id t:historical_date d:preliminary_value d:value d:benchmark_correction b:clipped", f"with recursive {L.CORRECTED} select *, pull_id as series_id from corrected", ("months", "scaled"))
 def _(spark, d):
-    return B.corrected_series(_first_pull(spark, d), T.months(spark, d))
+    return B.corrected_series(_each_pull(spark, d), _months(spark, d))
 
 
-@_query("benchmark_diagnostics", "i:n_daily_observations i:n_benchmark_constraints d:benchmark_rmse d:mean_absolute_correction",
-    f"with recursive {L.CORRECTED}, fits as (select m.p, avg(c.value) - any_value(m.value) as r from months2 m join corrected c on historical_date between period_start and period_end group by m.p) select (select count(*) from corrected) as n_daily_observations, count(*) as n_benchmark_constraints, sqrt(avg(r * r)) as benchmark_rmse, (select avg(abs(benchmark_correction)) from corrected) as mean_absolute_correction from fits", ("months", "scaled"))
+@_query("benchmark_diagnostics", "s:series_id i:n_daily_observations i:n_benchmark_constraints d:benchmark_rmse d:mean_absolute_correction",
+    f"""with recursive {L.CORRECTED}, fits as (select pull_id, m.p, avg(c.value) - any_value(m.value) as r from months2 m join corrected c on historical_date between period_start and period_end group by pull_id, m.p),
+    moves as (select pull_id, count(*) as n_daily_observations, avg(abs(benchmark_correction)) as mean_absolute_correction from corrected group by pull_id) select pull_id as series_id, any_value(n_daily_observations) as n_daily_observations, count(*) as n_benchmark_constraints, sqrt(avg(r * r)) as benchmark_rmse, any_value(mean_absolute_correction) as mean_absolute_correction from fits join moves using (pull_id) group by pull_id""", ("months", "scaled"))
 def _(spark, d):
-    series = B.corrected_series(_first_pull(spark, d), T.months(spark, d))
-    return B.benchmark_diagnostics(series, B.benchmark_fit(series.select(*P.DATE, "value"), T.months(spark, d)))
+    series = B.corrected_series(_each_pull(spark, d), _months(spark, d))
+    return B.benchmark_diagnostics(series, B.benchmark_fit(series.select(*P.DATE, "value"), _months(spark, d)))
 
 
 _METRICS = f"""with {_DAILY_CTE}, j as (select s.pull_id as series_id, s.historical_date, s.value as e, t.value as t from scaled s join daily t using (historical_date)),
@@ -753,20 +762,30 @@ def _(spark, d):
     return FA.clip_share(T.panel(spark, d).select(F.col("pull_id").alias("series_id"), se.alias("standard_error")))
 
 
-@_query("reliability_corrected_ols", "d:coefficient d:standard_error d:reliability_ratio d:denominator_uncorrected d:denominator_corrected i:n_observations",
-    f"""with {_DAILY_CTE}, r as (select t.historical_date, t.value - avg(t.value) over () as y, s.value - avg(s.value) over () as x, count(*) over () as n from scaled s join daily t using (historical_date) where s.pull_id = 'P001'),
-    b as (select sum(x * x) as xx, sum(x * x) - sum((1 - 1.0::double / n) * 4) as l, sum(x * y) as xy, any_value(n) as n from r), g as (select historical_date, x * (y - xy / l * x) + xy / l * (1 - 1.0::double / b.n) * 4 as g from r, b),
-    d as (select historical_date, g - avg(g) over () as d from g), q as (select d, lag(d, 1) over w as d1, lag(d, 2) over w as d2 from d window w as (order by historical_date)), v as (select greatest(avg(d * d) + 2 * (2 / 3.0::double * sum(d * d1) + 1 / 3.0::double * sum(d * d2)) / count(*), 0) as v from q)
-    select xy / l as coefficient, sqrt(v / n) / abs(l / n) as standard_error, l / xx as reliability_ratio, xx as denominator_uncorrected, l as denominator_corrected, n as n_observations from b, v""", ("panel", "scaled"))
+def _noisy(spark, d):
+    """The daily mean on every pull, whose values have an error variance of 4."""
+    rows = _each_pull(spark, d).join(_daily(spark, d).select("historical_date", F.col("value").alias("y")), "historical_date")
+    return rows.select("series_id", F.col("historical_date").alias("t"), "y", F.col("value").alias("x"), F.lit(4.0).alias("sigma2"))
+
+
+@_query("reliability_corrected_ols", "s:series_id d:coefficient d:standard_error d:t_value d:reliability_ratio m:denominator_uncorrected m:denominator_corrected i:n_observations",
+    f"""with {_DAILY_CTE}, r as (select s.pull_id, t.historical_date, t.value - avg(t.value) over p as y, s.value - avg(s.value) over p as x, count(*) over p as n from scaled s join daily t using (historical_date) window p as (partition by s.pull_id)),
+    b as (select pull_id, sum(x * x) as xx, sum(x * x) - sum((1 - 1.0::double / n) * 4) as l, sum(x * y) as xy, any_value(n) as n from r group by pull_id), g as (select pull_id, historical_date, x * (y - xy / l * x) + xy / l * (1 - 1.0::double / b.n) * 4 as g from r join b using (pull_id)),
+    d as (select pull_id, historical_date, g - avg(g) over (partition by pull_id) as d from g), q as (select pull_id, d, lag(d, 1) over w as d1, lag(d, 2) over w as d2 from d window w as (partition by pull_id order by historical_date)),
+    v as (select pull_id, greatest(avg(d * d) + 2 * (2 / 3.0::double * sum(d * d1) + 1 / 3.0::double * sum(d * d2)) / count(*), 0) as v from q group by pull_id)
+    select pull_id as series_id, xy / l as coefficient, sqrt(v / n) / abs(l / n) as standard_error, xy / l / (sqrt(v / n) / abs(l / n)) as t_value, l / xx as reliability_ratio, xx as denominator_uncorrected, l as denominator_corrected, n as n_observations from b join v using (pull_id)""", ("panel", "scaled"))
 def _(spark, d):
-    rows = _first_pull(spark, d).join(_daily(spark, d).select("historical_date", F.col("value").alias("y")), "historical_date")
-    return R.reliability_corrected_ols(rows.select(F.col("historical_date").alias("t"), "y", F.col("value").alias("x"), F.lit(4.0).alias("sigma2")), hac_lags=2)
+    return R.reliability_corrected_by_series(_noisy(spark, d), hac_lags=2)
 
 
-@_query("simex_curve", "d:lam d:mean_coefficient i:simulations")
+@_query("simex_curve", "s:series_id d:lam d:mean_coefficient i:simulations",
+    f"""with {_DAILY_CTE}, grid as (select lam, level, unnest(range(case when level = 0 then 1 else 200 end)) as sim from (select unnest([0.0, 0.5, 1.0, 1.5, 2.0])::double as lam, unnest(range(5)) as level)),
+    h as (select lam, sim, historical_date, md5('20260727|' || level || '|' || sim || '|' || historical_date::varchar) as h, level from grid cross join daily),
+    noise as (select lam, sim, historical_date, sqrt(lam * 4) * sqrt(-2 * ln((('0x' || substr(h, 1, 13))::bigint + 0.5::double) / 4503599627370496)) * cos(2 * pi() * ((('0x' || substr(h, 14, 13))::bigint + 0.5::double) / 4503599627370496)) as e from h),
+    slopes as (select pull_id, lam, sim, covar_samp(s.value + e, t.value) / var_samp(s.value + e) as slope from noise join scaled s using (historical_date) join daily t using (historical_date) group by all)
+    select pull_id as series_id, lam, avg(slope) as mean_coefficient, count(*) as simulations from slopes group by all""", ("panel", "scaled"))
 def _(spark, d):
-    rows = _first_pull(spark, d).join(_daily(spark, d).select("historical_date", F.col("value").alias("y")), "historical_date")
-    return R.simex(rows.select(F.col("historical_date").alias("t"), "y", F.col("value").alias("x"), F.lit(4.0).alias("sigma2")))
+    return R.simex(_noisy(spark, d))
 
 
 def _factor_panel(spark, d):

@@ -92,19 +92,37 @@ FACTORS = f"""f as (select pull_id, historical_date, value / stddev_samp(value)
   sym as (select g, any_value(c) as c, any_value((select count(*) from pulls9)) as k, list(v + case when pa = pb then c else 0 end order by pa, pb) as b from mats join bound using (g) group by g),
   {EIGEN}"""
 
-#: The series ``z`` with the smooth correction towards the months, misses weighed by a variance of 4.
+#: Every pull with the smooth correction towards the months, misses weighed by a variance of 4.
 #: ``green`` is the inverse of the matrix with 21 + 1e-8 on its diagonal (10 less at both ends) and -10 beside it.
-CORRECTED = f"""z as (select historical_date, value, row_number() over (order by historical_date) as t, count(*) over () as n from scaled where pull_id = 'P001'),
+CORRECTED = f"""z as (select pull_id, historical_date, value, dense_rank() over (order by historical_date) as t from scaled),
+  spots as (select distinct historical_date, t, count(distinct t) over () as n from z),
   months2 as (select *, row_number() over (order by period_start) as p, count(*) over () as np from months),
-  inside as (select p, t, z.value, 1.0::double / count(*) over (partition by p) as a from months2 join z on historical_date between period_start and period_end),
+  inside as (select p, t, 1.0::double / count(*) over (partition by p) as a from months2 join spots on historical_date between period_start and period_end),
   theta as (select acosh(1 + (1 + 1e-8) / 20) as h),
-  back as (select i.p, z.t, sum(i.a * exp(-h * abs(z.t - i.t)) * (1 + exp(-h * (2 * least(z.t, i.t) - 1))) * (1 + exp(-h * (2 * (z.n - greatest(z.t, i.t)) + 1))) / (20 * sinh(h) * (1 - exp(-2 * h * z.n)))) as green from inside i cross join z cross join theta group by all),
+  back as (select i.p, z.t, sum(i.a * exp(-h * abs(z.t - i.t)) * (1 + exp(-h * (2 * least(z.t, i.t) - 1))) * (1 + exp(-h * (2 * (z.n - greatest(z.t, i.t)) + 1))) / (20 * sinh(h) * (1 - exp(-2 * h * z.n)))) as green from inside i cross join spots z cross join theta group by all),
   inner_ as (select i.p as p, b.p as q, sum(i.a * b.green) as v from inside i join back b on b.t = i.t group by all),
-  miss as (select m.p, any_value(m.np) as np, any_value(m.value) - sum(a * inside.value) as miss from months2 m join inside using (p) group by m.p),
-  sys as (select 0 as g, k.p as i, any_value(np) as n, list_concat(list(v + case when k.p = q then 4 else 0 end order by q), [any_value(miss)]) as row from inner_ k join miss on miss.p = k.p group by k.p),
+  miss as (select z.pull_id, m.p, any_value(m.np) as np, any_value(m.value) - sum(a * z.value) as miss from months2 m join inside using (p) join z using (t) group by z.pull_id, m.p),
+  sys as (select pull_id as g, k.p as i, any_value(np) as n, list_concat(list(v + case when k.p = q then 4 else 0 end order by q), [any_value(miss)]) as row from inner_ k join miss on miss.p = k.p group by pull_id, k.p),
   {SOLVED},
-  moved as (select t, sum(green * row[n + 1]) as x from back join solved on solved.i = back.p group by t),
-  corrected as (select historical_date, value as preliminary_value, greatest(value + x, 0) as value, greatest(value + x, 0) - value as benchmark_correction, value + x < 0 as clipped from z join moved using (t))"""
+  moved as (select g as pull_id, t, sum(green * row[n + 1]) as x from back join solved on solved.i = back.p group by all),
+  corrected as (select pull_id, historical_date, value as preliminary_value, greatest(value + x, 0) as value, greatest(value + x, 0) - value as benchmark_correction, value + x < 0 as clipped from z join moved using (pull_id, t))"""
+
+#: G coefficients ``drawn(b, g)`` of 500 block resamples of the dates: a date's squares and cells are summed over its draws.
+#: 28 dates a block; three days by three streams.
+RESAMPLED = """dates as (select historical_date, row_number() over (order by historical_date) - 1 as t, count(*) over () as n from (select distinct historical_date from panel)),
+  cells as (select t, collection_day as d, stream_id as s, value as x from panel join dates using (historical_date)),
+  by_date as (select t, sum(x) ** 2 / 9 as s_t, sum(x * x) as s_x, list(x order by d, s) as xs from cells group by t),
+  by_day as (select t, sum(q) as s_td from (select t, sum(x) ** 2 / 3 as q from cells group by t, d) group by t),
+  by_stream as (select t, sum(q) as s_ts from (select t, sum(x) ** 2 / 3 as q from cells group by t, s) group by t),
+  size_ as (select any_value(n) as n, least(28, any_value(n)) as w from dates),
+  blocks as (select b, k, n, w, ('0x' || substr(md5('20260727|S1|' || b || '|' || k), 1, 15))::bigint % (n - w + 1) as first from size_, (select unnest(range(500)) as b), (select unnest(range((select ceil(n / w)::bigint from size_))) as k)),
+  drawn_t as (select b, first + j as t from (select *, unnest(range(w)) as j from blocks) where k * w + j < n),
+  sums as (select b, count(*) as n, sum(s_t) as s_t, sum(s_td) as s_td, sum(s_ts) as s_ts, sum(s_x) as s_x, """ + ", ".join(f"sum(xs[{i}]) as x{i}" for i in range(1, 10)) + """ from drawn_t join by_date using (t) join by_day using (t) join by_stream using (t) group by b),
+  more as (select *, ((x1 + x2 + x3) ** 2 + (x4 + x5 + x6) ** 2 + (x7 + x8 + x9) ** 2) / (3 * n) as s_d, ((x1 + x4 + x7) ** 2 + (x2 + x5 + x8) ** 2 + (x3 + x6 + x9) ** 2) / (3 * n) as s_s,
+    (x1 ** 2 + x2 ** 2 + x3 ** 2 + x4 ** 2 + x5 ** 2 + x6 ** 2 + x7 ** 2 + x8 ** 2 + x9 ** 2) / n as s_ds, (x1 + x2 + x3 + x4 + x5 + x6 + x7 + x8 + x9) ** 2 / (9 * n) as s_1 from sums),
+  squares as (select b, (s_t - s_1) / (n - 1) as m_t, (s_td - s_t - s_d + s_1) / (2 * (n - 1)) as m_td, (s_ts - s_t - s_s + s_1) / (2 * (n - 1)) as m_ts, (s_x - s_td - s_ts - s_ds + s_t + s_d + s_s - s_1) / (4 * (n - 1)) as m_tds from more),
+  parts as (select b, greatest((m_t - m_td - m_ts + m_tds) / 9, 0) as v_t, greatest((m_td - m_tds) / 3, 0) / 3 + greatest((m_ts - m_tds) / 3, 0) / 3 + greatest(m_tds, 0) / 9 as rel from squares),
+  drawn as (select b, v_t / (v_t + rel) as g from parts where v_t + rel > 0)"""
 
 #: The largest resistance of the window layout to its middle window, on the graph and along the path.
 RESISTANCE = f"""ordered as (select *, row_number() over (order by chunk_id) as o, count(*) over () // 2 + 1 as mid from windows),
