@@ -271,6 +271,22 @@ def test_corrected_regression_and_simex(spark):
     assert abs(R.simex_estimate(curve) - 2) < abs(plain - 2)
 
 
+def test_regression_by_series_keeps_series_apart(spark):
+    rng = np.random.default_rng(8)
+    parts = []
+    for name, slope, noise in (("A", 2.0, 0.0), ("B", -1.0, 0.0), ("C", 1.0, 100.0)):
+        x = rng.normal(size=60)
+        parts.append(pd.DataFrame({"series_id": name, "t": np.arange(60), "y": slope * x + 0.1 * rng.normal(size=60), "x": x, "sigma2": noise}))
+    parts.append(parts[0].head(2).assign(series_id="D"))
+    df = spark.createDataFrame(pd.concat(parts))
+    got = {r["series_id"]: r for r in R.reliability_corrected_by_series(df).collect()}
+    for name in "AB":
+        one = R.reliability_corrected_ols(df.where(F.col("series_id") == name).drop("series_id")).first()
+        assert got[name]["identified"] and got[name]["coefficient"] == pytest.approx(one["coefficient"]) and got[name]["p_value"] < 1e-6
+    assert [got[n]["identified"] for n in "CD"] == [False, False] and got["C"]["coefficient"] is None and got["D"]["standard_error"] is None
+    assert R.reliability_corrected_by_series(df.limit(0)).count() == 0
+
+
 def test_factors_without_error_are_principal_components(spark):
     rng = np.random.default_rng(6)
     f = rng.normal(size=400)
