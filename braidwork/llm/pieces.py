@@ -27,7 +27,7 @@ MOST_PIECES = 2_000_000
 #: How much worse than the worst piece a character is that has none and is spelt in bytes.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text in a block; beside the text a task holds its words and ids.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 _NO_ID = -(1 << 63)
 #: Characters from this code on are not told apart when texts are cut into words.
 _HIGH = 2048
@@ -201,10 +201,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class _Words:
     """The words of a block's texts: distinct ones by a 64-bit hash, and the number of each occurrence.
 
-    A collision of two words of one block would show as a failed round trip.
+    A collision of two words of one block would show as a failed round trip. Without ``buckets`` only the
+    numbers are told, and the words are not kept.
     """
 
-    def __init__(self, texts: list[bytes], joins: bytes, buckets: int):
+    def __init__(self, texts: list[bytes], joins: bytes, buckets: int | None = None):
         flags, powers = _flags(joins), _powers(1 << 19)
         whole = b"".join(b" " + t for t in texts if t).decode()
         size = np.fromiter((len(t.decode()) + 1 if t else 0 for t in texts), np.int64, len(texts))
@@ -224,11 +225,17 @@ class _Words:
                 hashes.append(h * np.uint64(0xD6E8FEB86659FD93))
                 begins.append((cuts[:-1] + lo).astype(np.int32))
             a = b
+        del flags, powers
         begins, hashes = np.concatenate(begins), np.concatenate(hashes)
-        ends = np.append(begins[1:], np.int32(len(whole)))
         self.first = np.searchsorted(begins, heads)
+        if buckets is None:
+            del whole, begins
         distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         self.number = number.astype(np.int32)
+        if buckets is None:
+            return
+        del hashes, number
+        ends = np.append(begins[1:], np.int32(len(whole)))
         self.words = [whole[x:y].encode() for x, y in zip(begins[first].tolist(), ends[first].tolist())]
         self.bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascends with the words
 
@@ -257,7 +264,10 @@ def _distinct(buckets: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = set().union(*(route.received([blob])[3].tolist() for blob in rows["blob"]))
-        return pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "word": [t for w in found if len(t := w.decode()) <= MOST_CHARS]})
+        out = pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "word": [t for w in found if len(t := w.decode()) <= MOST_CHARS]})
+        del found
+        tidy()
+        return out
 
     return run
 
@@ -293,7 +303,7 @@ def _fill(vocabulary: Vocabulary, buckets: int):
         if not docs.num_rows:
             return schema.empty_table()
         row_ids, texts = unpack(docs["blob"].to_pylist())
-        words = _Words(texts, joins, buckets)
+        words = _Words(texts, joins)
         _, seq, found = route.received(answers["blob"].to_pylist())
         found = found[np.argsort(seq)].tolist()
         size = np.fromiter(map(len, found), np.int32, len(found)) // 4

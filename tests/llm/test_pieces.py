@@ -78,3 +78,16 @@ def test_long_runs_are_split_best_as_a_whole(spark, vocabulary):
     for row in S.encode(docs, vocabulary).collect():
         assert row["round_trip"]
         assert row["ids"] == viterbi(vocabulary, texts[row["id"]])[1]
+
+
+def test_a_block_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    joins = S.Vocabulary(("ab", "cd"), (0, 1), (0.0, 0.0), tuple(range(2, 258))).joins()
+    text = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(S.BLOCK_BYTES // 6)).encode()
+    tracemalloc.start()
+    S._Words([text[a : a + 3000] for a in range(0, len(text), 3000)], joins, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
