@@ -164,17 +164,19 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     pieces = F.broadcast(vocabulary.table(words.sparkSession).select("*", F.xxhash64("piece").alias("key")))
     size = F.length("word")
-    starts = words.select("bucket", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    spans = starts.select("bucket", "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("s")))).alias("n"))
-    cut = spans.withColumn("part", F.substring("word", F.col("s") + 1, F.col("n")))
+    # By end, then start, as the lattice wants them, so that sorting it finds them in order.
+    ends = words.select("bucket", "word", F.explode(F.sequence(F.lit(1), size)).alias("e"))
+    spans = ends.select("bucket", "word", "e", F.explode(F.sequence(F.greatest(F.lit(0), F.col("e") - vocabulary.longest), F.col("e") - 1)).alias("s"))
+    cut = spans.withColumn("n", F.col("e") - F.col("s")).withColumn("part", F.substring("word", F.col("s") + 1, F.col("n")))
     known = F.col("piece_id").isNotNull()
-    edge = F.struct((F.col("s") + F.col("n")).alias("e"), F.col("s"), F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"), F.coalesce("piece_id", F.lit(-1)).alias("id"))
+    edge = F.struct("e", "s", F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"), F.coalesce("piece_id", F.lit(-1)).alias("id"))
     edges = (
         cut.join(pieces, (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left")
         .where(known | (F.col("n") == 1))
         .select("bucket", "word", edge.alias("edge"))
     )
-    lattice = edges.groupBy("bucket", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # The word first: the aggregate sorts by the first bytes of its first key, and a task has few buckets.
+    lattice = edges.groupBy("word", "bucket").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     # Edges come by end, then start: done[i] is the best way to the i-th character.
     best = F.expr("""
         aggregate(edges,
@@ -199,10 +201,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words:
-    """The words of a block's texts: distinct ones by a 64-bit hash, and the number of each occurrence.
+    """The words of a block's texts: distinct ones by a 64-bit hash, or the number of each occurrence.
 
-    A collision of two words of one block would show as a failed round trip. Without ``buckets`` only the
-    numbers are told, and the words are not kept.
+    A collision of two words of one block would show as a failed round trip. Without ``buckets`` the
+    numbers are told, and the words are not kept; with them the words, and no numbers.
     """
 
     def __init__(self, texts: list[bytes], joins: bytes, buckets: int | None = None):
@@ -230,11 +232,14 @@ class _Words:
         self.first = np.searchsorted(begins, heads)
         if buckets is None:
             del whole, begins
-        distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        self.number = number.astype(np.int32)
-        if buckets is None:
+            self.number = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
             return
-        del hashes, number
+        first = np.argsort(hashes)  # any occurrence of a word will do
+        hashes = hashes[first]
+        new = np.ones(len(hashes), bool)
+        np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+        distinct, first = hashes[new], first[new]
+        del hashes, new
         ends = np.append(begins[1:], np.int32(len(whole)))
         self.words = [whole[x:y].encode() for x, y in zip(begins[first].tolist(), ends[first].tolist())]
         self.bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascends with the words

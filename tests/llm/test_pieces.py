@@ -91,3 +91,15 @@ def test_a_block_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250 << 20
+
+
+def test_a_block_that_asks_sorts_its_words_once_and_numbers_none(monkeypatch):
+    joins = S.Vocabulary(("ab", "cd"), (0, 1), (0.0, 0.0), tuple(range(2, 258))).joins()
+    texts = [b"ab cd ab", b"", b"cd x ab", "\u00e9 ab".encode()]
+    numbered = S._Words(texts, joins)
+    monkeypatch.setattr(S.np, "unique", None)
+    asked = S._Words(texts, joins, 4)
+    assert len(asked.words) == len(set(asked.words)) == numbered.number.max() + 1
+    whole = b"".join(b" " + t for t in texts if t)
+    assert b"".join(asked.words[k] for k in numbered.number) == whole
+    assert (asked.bucket[1:] >= asked.bucket[:-1]).all()
